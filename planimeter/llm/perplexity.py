@@ -121,7 +121,8 @@ def log_probabilities(asked: DataFrame, counts: DataFrame) -> DataFrame:
     """lang, g, logp for distinct n-grams asked (lang, g) from highest-order counts (lang, g, c)."""
     tables = []
     for n in range(ORDER, 0, -1):
-        weighed, context, counts = _order(counts, n)
+        # Each order's small tables are written once; otherwise every join would derive them all again.
+        weighed, context, counts = (materialize(t) for t in _order(counts, n))
         tables.append((n, weighed, context))
     out = asked.withColumn("p", F.lit(1.0 / SYMBOLS))
     for n, weighed, context in reversed(tables):
@@ -129,7 +130,7 @@ def log_probabilities(asked: DataFrame, counts: DataFrame) -> DataFrame:
         out = out.withColumn("k", F.col("g").bitwiseAND(mask)).withColumn("h", F.shiftright("k", BITS))
         out = out.join(weighed.withColumnRenamed("g", "k"), ["lang", "k"], "left").join(context, ["lang", "h"], "left")
         seen: Column = (F.coalesce("w", F.lit(0.0)) + F.col("kept_back") * F.col("p")) / F.col("total")
-        out = out.select("lang", "g", F.when(F.col("total").isNull(), F.col("p")).otherwise(seen).alias("p"))
+        out = materialize(out.select("lang", "g", F.when(F.col("total").isNull(), F.col("p")).otherwise(seen).alias("p")))
     return out.select("lang", "g", F.log("p").cast("float").alias("logp"))
 
 

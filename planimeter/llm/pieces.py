@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Chunks are cut after so many letters or marks, which bounds a lattice.
@@ -297,7 +298,6 @@ def decode_pieces(df: DataFrame, *, ids_col="ids", model=MODEL) -> DataFrame:
             texts = [None if x is None else encoder.decode(np.array(x, np.int64))[1:].decode("utf-8", "surrogatepass") for x in found]
             yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
 
-    schema = df.schema.add("text", "string") if "text" not in df.columns else None
-    if schema is None:
+    if "text" in df.columns:
         raise ValueError("the table already has a column text")
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("text", StringType())]))

@@ -112,6 +112,17 @@ def test_merge_of_transforms_sorts_like_one_text():
             assert a.tolist() == [first[raw[k : k + 6]] for k in range(len(raw) - 5)]
 
 
+@pytest.mark.parametrize("length", [6, 7, 10])
+def test_merge_gives_exact_common_prefixes(length):
+    rng = random.Random(length)
+    shards = [suffix_dedup.Shard([bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 30))) for _ in range(4)]) for _ in range(3)]
+    shard, place, lcp = suffix_dedup.merge_intervals(shards, length)
+    turned = [np.roll(s.text, -int(s.order[p]))[:length].tolist() for s, p in zip([shards[i] for i in shard], place)]
+    assert turned == sorted(turned) and len(turned) == sum(len(s.text) for s in shards)
+    common = [next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), length) for a, b in zip(turned, turned[1:])]
+    assert lcp.tolist() == [-1, *common]
+
+
 def test_perplexity(spark, docs, empty):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
     out = {(r.doc_id, r.n_grams): r for r in perplexity.quality_by_perplexity(docs, labels).collect()}

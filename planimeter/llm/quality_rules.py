@@ -103,6 +103,12 @@ def _repeated(words: Column) -> Column:
     )
 
 
+def _once(value: Column) -> Column:
+    """value as an expression that the optimizer takes for nondeterministic: a filter on its fields stays above the
+    projection that computes it, where a copy for each field would be evaluated otherwise."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def document_stats(text: Column) -> Column:
     """All statistics of a text as one struct of longs; null text counts as empty."""
     t = F.coalesce(text, F.lit(""))
@@ -240,10 +246,11 @@ def _judged(stats: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def kept_documents(df: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="quality", **learn) -> DataFrame:
     """The rows of df that quality_rules() keeps, with df's columns."""
-    bare = df.select(F.col(id_col).alias("doc_id"), document_stats(F.col(text_col)).alias("s")).where(F.col(id_col).isNotNull())
     known = labels.select(F.col(id_col).alias("doc_id"), (F.col(label_col) == 0).alias("bad")).where("doc_id is not null and bad is not null")
-    marked = bare.join(known.select("doc_id").distinct(), "doc_id", "left_semi")
-    stats = materialize(_gridded(marked.select("doc_id", *_flat())))
+    # Texts without a label go before their statistics are computed, not after.
+    marked = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(known.select("doc_id").distinct(), "doc_id", "left_semi")
+    stats = marked.select("doc_id", _once(document_stats(F.col("text"))).alias("s"))
+    stats = materialize(_gridded(stats.select("doc_id", *_flat())))
     rules = learn_rules(materialize(_labelled(stats, labels, id_col, label_col)), **learn)
-    rows = df.select(F.struct("*").alias("row"), document_stats(F.col(text_col)).alias("s"))
+    rows = df.select(F.struct("*").alias("row"), _once(document_stats(F.col(text_col))).alias("s"))
     return _judged(_gridded(rows.select("row", *_flat())), rules).where("kept").select("row.*")

@@ -63,6 +63,30 @@ def rotate_by_quaternion(q: Column, p: Column) -> Column:
     )
 
 
+def rescaled(fx: Column, fy: Column, cx: Column, cy: Column, sx: Column, sy: Column) -> Column:
+    """Intrinsics of the same camera at another image size: sx and sy are new by old width and height."""
+    return F.struct((fx * sx).alias("fx"), (fy * sy).alias("fy"), (cx * sx).alias("cx"), (cy * sy).alias("cy"))
+
+
+def project(p: Column, t: Column, q: Column, fx: Column, fy: Column, cx: Column, cy: Column) -> Column:
+    """World point (struct x, y, z) to pixel and depth by a camera at t (struct) turned by q; at depth 0 u and v are null."""
+    back = F.array(-q[0], -q[1], -q[2], q[3])
+    c = rotate_by_quaternion(back, F.struct(*[(p[a] - t[a]).alias(a) for a in "xyz"]))
+    return F.struct((F.try_divide(fx * c["x"], c["z"]) + cx).alias("u"), (F.try_divide(fy * c["y"], c["z"]) + cy).alias("v"), c["z"].alias("z"))
+
+
+def turned(x: Column, z: Column, theta: Column) -> Column:
+    """A floor point in axes turned by theta; by -theta it comes back."""
+    return F.struct((x * F.cos(theta) + z * F.sin(theta)).alias("x"), (z * F.cos(theta) - x * F.sin(theta)).alias("z"))
+
+
+def segment_coords(x: Column, z: Column, x0: Column, z0: Column, x1: Column, z1: Column) -> Column:
+    """A floor point along and across the segment; a segment without length gives nulls."""
+    dx, dz = x1 - x0, z1 - z0
+    n = F.sqrt(dx * dx + dz * dz)
+    return F.struct(F.try_divide((x - x0) * dx + (z - z0) * dz, n).alias("along"), F.try_divide((z - z0) * dx - (x - x0) * dz, n).alias("across"))
+
+
 def pose_usable(t: Column, q: Column) -> Column:
     """Finite translation and rotation, and a quaternion longer than a half."""
     finite = lambda a: ~F.exists(a, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

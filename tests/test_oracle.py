@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from planimeter.plans import assess, harness  # noqa: F401 (assess registers its queries)
+from planimeter.plans import assess, harness, layout  # noqa: F401 (assess and layout register their queries)
 
 DATA = os.environ.get("PLANIMETER_SF_DIR", "/root/testdata/sf0.01")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from planimeter.functions import expr
-from planimeter.operators import layout
+from planimeter.operators import layout, matching
 from planimeter.plans.harness import _t, query
 
 c = F.col
@@ -216,3 +216,49 @@ def floor_coordinates(spark, sf_dir):
     s = expr.segment_coords(x, z, o, o, e[2].cast("double") + 2.0, e[3].cast("double"))
     r = expr.turned(x, z, t)
     return _t(spark, sf_dir, "embeddings").select(c("vec_id").alias("id"), *[F.round(v, 4).alias(n) for n, v in (("along", s["along"]), ("across", s["across"]), ("turned_x", r["x"]), ("turned_z", r["z"]))])
+
+
+CEIL = "SELECT l_suppkey % 5 AS scan, CASE WHEN l_orderkey % 3 = 0 THEN 2.413 + (l_partkey % 7) / 1010.0 ELSE l_quantity / 9.7 - 0.5 END AS height FROM {t}"
+
+
+@query(f"WITH p AS ({CEIL.format(t='lineitem')})" + """
+, h AS (SELECT * FROM p WHERE height > -0.3 AND height < 5), c AS (SELECT scan, least(floor((height - 1.8) / 0.02), 133) AS b, count(*) AS c FROM h WHERE height >= 1.8 AND height <= 4.48 GROUP BY ALL),
+m AS (SELECT scan, arg_max(b, c * 1000 - b) AS b, max(c) AS c FROM c GROUP BY 1), n AS (SELECT scan, count(*) AS n FROM h GROUP BY 1)
+SELECT scan, n, CASE WHEN n >= 500 AND c >= 80 THEN round(1.8 + (b + 0.5) * 0.02, 4) END AS ceiling_height_m FROM n LEFT JOIN m USING (scan)""")
+def scanned_ceiling(spark, sf_dir):
+    _t(spark, sf_dir, "lineitem").createOrReplaceTempView("planimeter_lineitem")
+    h = spark.sql(CEIL.format(t="planimeter_lineitem")).withColumn("height", c("height").cast("double"))
+    return matching.scanned_ceiling(h, ["scan"])
+
+
+@query("""
+WITH f AS (SELECT s_nationkey AS scene, s_suppkey AS floor_id, s_suppkey % 5 * 0.3::DOUBLE AS y FROM supplier), p AS (SELECT c_nationkey AS scene, c_acctbal / 3000.0 AS x, c_custkey % 40 / 7.0 AS y, c_custkey % 13 / 4.0 AS z FROM customer)
+SELECT scene, floor_id, round(min(p.y - f.y) FILTER (p.y - f.y BETWEEN 1.8 AND 6 AND x > 0 AND x < 2.1 AND z > 0.1 AND z < 2.6), 4) AS ceiling_height_m FROM f LEFT JOIN p USING (scene) GROUP BY ALL""")
+def ceilings_above(spark, sf_dir):
+    at = lambda x, z: F.struct(F.lit(x).alias("x"), F.lit(z).alias("z"))
+    f = _t(spark, sf_dir, "supplier").select(c("s_nationkey").alias("scene"), c("s_suppkey").alias("id"), (c("s_suppkey") % 5 * F.lit(0.3)).alias("y"), F.array(at(0.0, 0.1), at(2.1, 0.1), at(2.1, 2.6), at(0.0, 2.6)).alias("polygon"))
+    p = _t(spark, sf_dir, "customer").select(c("c_nationkey").alias("scene"), (c("c_acctbal") / 3000.0).alias("x"), (c("c_custkey") % 40 / 7.0).alias("y"), (c("c_custkey") % 13 / 4.0).alias("z"))
+    return matching.ceilings_above(f, p, ["scene"]).withColumn("ceiling_height_m", F.round("ceiling_height_m", 4))
+
+
+@query("""
+WITH b AS (SELECT l_orderkey AS plan, max(l_quantity) AS before FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY 1), a AS (SELECT l_orderkey AS plan, max(l_quantity) AS after FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY 1)
+SELECT plan, before, after, after - before AS change FROM b FULL JOIN a USING (plan)""")
+def longest_wall_change(spark, sf_dir):
+    w = _t(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("plan"), c("l_quantity").alias("length"), "l_linenumber")
+    return matching.longest_wall_change(w.where("l_linenumber % 2 = 0"), w.where("l_linenumber % 2 = 1"), ["plan"])
+
+
+@query("""
+WITH m AS (SELECT s_suppkey AS bundle, CASE WHEN s_suppkey % 9 > 0 THEN 'p' || s_suppkey END AS own, CASE s_suppkey % 4 WHEN 0 THEN [] WHEN 1 THEN ['1-URGENT', '1-URGENT', '2-HIGH'] ELSE ['1-URGENT', '2-HIGH', '5-LOW'] END AS rooms FROM supplier),
+o AS (SELECT o_custkey AS bundle, o_orderstatus AS name, 'p' || (o_custkey + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END) AS pid, CASE WHEN o_orderkey % 7 > 0 THEN o_orderpriority END AS room FROM orders)
+SELECT bundle, 'no_property' AS code, NULL AS name FROM m WHERE own IS NULL UNION ALL SELECT bundle, 'repeated_room', NULL FROM m WHERE bundle % 4 = 1
+UNION ALL SELECT bundle, 'other_property', name FROM o JOIN m USING (bundle) WHERE pid <> own UNION ALL SELECT bundle, 'unknown_room', name || ':' || room FROM o JOIN m USING (bundle) WHERE len(rooms) > 0 AND room IS NOT NULL AND NOT list_contains(rooms, room)""")
+def identity_issues(spark, sf_dir):
+    k = c("s_suppkey")
+    some = lambda *r: F.array(*map(F.lit, r))
+    rooms = F.when(k % 4 == 0, F.array().cast("array<string>")).when(k % 4 == 1, some("1-URGENT", "1-URGENT", "2-HIGH")).otherwise(some("1-URGENT", "2-HIGH", "5-LOW"))
+    m = _t(spark, sf_dir, "supplier").select(k.alias("bundle"), F.when(k % 9 > 0, F.concat(F.lit("p"), k.cast("string"))).alias("property_id"), rooms.alias("rooms"))
+    pid = F.concat(F.lit("p"), (c("o_custkey") + F.when(c("o_orderkey") % 11 == 0, 1).otherwise(0)).cast("string"))
+    o = _t(spark, sf_dir, "orders").select(c("o_custkey").alias("bundle"), c("o_orderstatus").alias("name"), pid.alias("property_id"), F.when(c("o_orderkey") % 7 > 0, c("o_orderpriority")).alias("room_id"))
+    return matching.identity_issues(m, o.drop("room_id"), o.drop("property_id"), ["bundle"])

@@ -9,7 +9,8 @@ are tallied, pairs below the minimum fall out, and the rest are verified bit by
 Copies collapse first: lists hold distinct fingerprints. A list never emits all its pairs: it is searched
 outwards from one member at a time over the members not reached yet, and emits one edge for each member
 reached. Lists over LIST_BLOCK members are searched in blocks, every pair of blocks by a task of its own,
-so no link is lost and no task holds more than two blocks."""
+so no link is lost and no task holds more than two blocks; a pair emits only edges that join components of
+one block, so edges grow with a list's members, not with its pairs of blocks."""
 
 from __future__ import annotations
 
@@ -90,6 +91,27 @@ def _reach(fps: np.ndarray, max_bits: int, least: int) -> Iterator[tuple[int, in
                 left = np.delete(left, at)
 
 
+def _joining(fps: np.ndarray, side: np.ndarray, max_bits: int, least: int) -> Iterator[tuple[int, int]]:
+    """Edges that join the components of two blocks, which their own tasks connect within."""
+    root = list(range(len(fps)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for block in np.unique(side):
+        at = np.flatnonzero(side == block)
+        for x, y in _reach(fps[at], max_bits, least):
+            root[find(at[x])] = find(at[y])
+    for x, y in _reach(fps, max_bits, least):
+        a, b = find(x), find(y)
+        if a != b:
+            root[a] = b
+            yield x, y
+
+
 def _search(max_bits: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         us: list[bytes] = []
@@ -97,9 +119,12 @@ def _search(max_bits: int, least: int):
         for group in by_group(batches, "task"):
             if group.num_rows < 2:
                 continue
-            raw = group.column("fp").to_pylist()
+            # In one order everywhere, so that lists that share members give the same edges.
+            rows = sorted(zip(group.column("fp").to_pylist(), group.column("mine").to_pylist(), strict=True))
+            raw, side = [x[0] for x in rows], np.array([x[1] for x in rows])
             fps = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
-            for x, y in _reach(fps, max_bits, least):
+            first, other = group.column("task")[0].as_py().split(":")[1:]
+            for x, y in _reach(fps, max_bits, least) if first == other else _joining(fps, side, max_bits, least):
                 us.append(raw[x])
                 vs.append(raw[y])
             if len(us) >= 50_000:
@@ -131,6 +156,7 @@ def fingerprint_links(fps: DataFrame, *, words: int, max_bits: int, block: int =
         .select(
             F.concat(F.hex("key"), F.lit(":"), F.least("mine", "other").cast("string"), F.lit(":"), F.greatest("mine", "other").cast("string")).alias("task"),
             "fp",
+            "mine",
         )
     )
     n = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -6,6 +6,9 @@ positional bytes, such that any pair reaching that minimum shares at least one l
 for wide fingerprints disjoint groups, which find nearly all pairs). Within a list shared positional bytes
 are tallied, pairs below the minimum fall out, and the rest are verified bit by bit.
 
+deduplicated() asks for a similarity of sets, not of bits: its lists go by least hashes of the sets, wide
+fingerprints only bound the candidates, and within components of candidates the sets are compared exactly.
+
 Copies collapse first: lists hold distinct fingerprints. A list never emits all its pairs: it is searched
 outwards from one member at a time over the members not reached yet, and emits one edge for each member
 reached. Lists over LIST_BLOCK members are searched in blocks, every pair of blocks by a task of its own,
@@ -14,7 +17,7 @@ one block, so edges grow with a list's members, not with its pairs of blocks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations, repeat
 
 import numpy as np
@@ -27,13 +30,18 @@ from planimeter.llm.common import by_group, connected_components, materialize, r
 
 #: Members of a list that one task searches against as many others.
 LIST_BLOCK = 512
+#: Near-copies have four of five shingles in common, or more.
+SIMILAR = (4, 5)
+#: Lists of deduplicated(): keys a set has, and least hashes in a key; their functions are fixed.
+BANDS, BAND_ROWS = 32, 4
+FACTORS, SHIFTS = np.random.default_rng(11).integers(0, 2**64, (2, BANDS * BAND_ROWS), np.uint64) | np.uint64(1)
 
 
-def fingerprint(text: str | None, shingle: int = 4, words: int = 1) -> bytes:
-    """The fingerprint of one text: `words` big-endian 64-bit SimHashes; no words: all zero."""
+def _shingles(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of a text's shingles in their order; a text of fewer words is one, without words none."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return bytes(8 * words)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     ends = list(accumulate(len(t) + 1 for t in tokens))
     if len(tokens) <= shingle:
@@ -41,8 +49,13 @@ def fingerprint(text: str | None, shingle: int = 4, words: int = 1) -> bytes:
     else:
         starts = [0, *ends]
         parts = [joined[a : b - 1] for a, b in zip(starts, ends[shingle - 1 :], strict=False)]
-    n = len(parts)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), dtype=np.uint64, count=n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), dtype=np.uint64, count=len(parts))
+
+
+def _simhash(h: np.ndarray, words: int) -> bytes:
+    n = len(h)
+    if not n:
+        return bytes(8 * words)
     out = []
     for k in range(words):
         if k:
@@ -56,6 +69,21 @@ def fingerprint(text: str | None, shingle: int = 4, words: int = 1) -> bytes:
     return b"".join(out)
 
 
+def fingerprint(text: str | None, shingle: int = 4, words: int = 1) -> bytes:
+    """The fingerprint of one text: `words` big-endian 64-bit SimHashes; no words: all zero."""
+    return _simhash(_shingles(text, shingle), words)
+
+
+def _list_keys(h: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set of hashes, each of the least values of the set under BAND_ROWS hash functions."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 1024):
+        x = h[at : at + 1024, None] * FACTORS + SHIFTS
+        np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=0), out=least)
+    raw, width = least.tobytes(), 8 * BAND_ROWS
+    return np.array([xxhash.xxh64_intdigest(raw[i : i + width]) for i in range(0, len(raw), width)], np.uint64).view(np.int64)
+
+
 def covering(positions: int, minimum: int) -> list[tuple[int, ...]]:
     """Groups of three positions of eight such that any four positions hold a group (twenty of them).
 
@@ -72,28 +100,56 @@ def covering(positions: int, minimum: int) -> list[tuple[int, ...]]:
     return groups
 
 
-def _reach(fps: np.ndarray, max_bits: int, least: int) -> Iterator[tuple[int, int]]:
-    """Edges of a spanning forest of the link graph among fps (rows of bytes)."""
+Near = Callable[[int, np.ndarray], np.ndarray]
+
+
+def _near_bits(fps: np.ndarray, max_bits: int, least: int) -> Near:
+    """Which of the rows `left` of fps (rows of bytes) differ from row x in max_bits or fewer."""
     words = np.ascontiguousarray(fps).view(np.uint64)
-    left = np.arange(len(fps))
+
+    def near(x: int, left: np.ndarray) -> np.ndarray:
+        out = np.ones(len(left), bool) if least <= 0 else (fps[left] == fps[x]).sum(axis=1) >= least
+        at = np.flatnonzero(out)
+        out[at] = np.bitwise_count(words[left[at]] ^ words[x]).sum(axis=1) <= max_bits
+        return out
+
+    return near
+
+
+def _near_sets(sets: list[np.ndarray]) -> Near:
+    """Which of the sets `left` have a Jaccard similarity of SIMILAR or more with set x, exactly."""
+    sizes = np.array([len(s) for s in sets])
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(at, kind="stable")]
+    start = np.concatenate([[0], np.cumsum(n)])
+    top, bottom = SIMILAR
+
+    def near(x: int, left: np.ndarray) -> np.ndarray:
+        holders = [owner[start[t] : start[t + 1]] for t in at[ends[x] : ends[x + 1]]]
+        common = np.bincount(np.concatenate([*holders, owner[:0]]), minlength=len(sets))[left]
+        return (top + bottom) * common >= top * (sizes[x] + sizes[left])
+
+    return near
+
+
+def _reach(left: np.ndarray, near: Near) -> Iterator[tuple[int, int]]:
+    """Edges of a spanning forest of the link graph among the rows left."""
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = (fps[left] == fps[x]).sum(axis=1) >= least
-            if near.any():
-                at = np.flatnonzero(near)
-                bits = np.bitwise_count(words[left[at]] ^ words[x]).sum(axis=1)
-                at = at[bits <= max_bits]
-                for y in left[at]:
+            hit = near(x, left)
+            if hit.any():
+                for y in left[hit]:
                     yield x, y
-                queue.extend(left[at])
-                left = np.delete(left, at)
+                queue.extend(left[hit])
+                left = left[~hit]
 
 
-def _joining(fps: np.ndarray, side: np.ndarray, max_bits: int, least: int) -> Iterator[tuple[int, int]]:
+def _joining(side: np.ndarray, near: Near) -> Iterator[tuple[int, int]]:
     """Edges that join the components of two blocks, which their own tasks connect within."""
-    root = list(range(len(fps)))
+    root = list(range(len(side)))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -102,17 +158,18 @@ def _joining(fps: np.ndarray, side: np.ndarray, max_bits: int, least: int) -> It
         return i
 
     for block in np.unique(side):
-        at = np.flatnonzero(side == block)
-        for x, y in _reach(fps[at], max_bits, least):
-            root[find(at[x])] = find(at[y])
-    for x, y in _reach(fps, max_bits, least):
+        for x, y in _reach(np.flatnonzero(side == block), near):
+            root[find(x)] = find(y)
+    for x, y in _reach(np.arange(len(side)), near):
         a, b = find(x), find(y)
         if a != b:
             root[a] = b
             yield x, y
 
 
-def _search(max_bits: int, least: int):
+def _search(near_of: Callable[[list[bytes], list[bytes]], Near]):
+    """Edges u, v of each task; near_of makes its test from the names (column fp) and values of a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         us: list[bytes] = []
         vs: list[bytes] = []
@@ -120,11 +177,11 @@ def _search(max_bits: int, least: int):
             if group.num_rows < 2:
                 continue
             # In one order everywhere, so that lists that share members give the same edges.
-            rows = sorted(zip(group.column("fp").to_pylist(), group.column("mine").to_pylist(), strict=True))
+            rows = sorted(zip(*[group.column(c).to_pylist() for c in ("fp", "mine", "value")], strict=True), key=lambda r: r[0])
             raw, side = [x[0] for x in rows], np.array([x[1] for x in rows])
-            fps = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+            near = near_of(raw, [x[2] for x in rows])
             first, other = group.column("task")[0].as_py().split(":")[1:]
-            for x, y in _reach(fps, max_bits, least) if first == other else _joining(fps, side, max_bits, least):
+            for x, y in _reach(np.arange(len(raw)), near) if first == other else _joining(side, near):
                 us.append(raw[x])
                 vs.append(raw[y])
             if len(us) >= 50_000:
@@ -135,16 +192,12 @@ def _search(max_bits: int, least: int):
     return run
 
 
-def fingerprint_links(fps: DataFrame, *, words: int, max_bits: int, block: int = LIST_BLOCK) -> DataFrame:
-    """Edges u, v among distinct fingerprints (column fp, binary) that connect all links of max_bits or fewer."""
-    if words == 1:
-        groups, least = covering(8, 8 - max_bits), 8 - max_bits
-    else:
-        groups, least = [(2 * i, 2 * i + 1) for i in range(4 * words)], max(2, 8 * words - max_bits)
-    keys = [
-        F.concat(F.lit(bytes([i])), *[F.substring(F.col("fp"), p + 1, 1) for p in g]) for i, g in enumerate(groups)
-    ]
-    lists = fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
+def _bytes_of(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+
+
+def _links(lists: DataFrame, near_of: Callable[[list[bytes], list[bytes]], Near], block: int) -> DataFrame:
+    """Edges u, v that connect the links within each list; lists: key (binary), fp, value."""
     sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / F.lit(block)).cast("int")
     mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
@@ -157,10 +210,24 @@ def fingerprint_links(fps: DataFrame, *, words: int, max_bits: int, block: int =
             F.concat(F.hex("key"), F.lit(":"), F.least("mine", "other").cast("string"), F.lit(":"), F.greatest("mine", "other").cast("string")).alias("task"),
             "fp",
             "mine",
+            "value",
         )
     )
-    n = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return dealt.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_search(max_bits, least), "u binary, v binary")
+    n = max(1, int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_search(near_of), "u binary, v binary")
+
+
+def fingerprint_links(fps: DataFrame, *, words: int, max_bits: int, block: int = LIST_BLOCK) -> DataFrame:
+    """Edges u, v among distinct fingerprints (column fp, binary) that connect all links of max_bits or fewer."""
+    if words == 1:
+        groups, least = covering(8, 8 - max_bits), 8 - max_bits
+    else:
+        groups, least = [(2 * i, 2 * i + 1) for i in range(4 * words)], max(2, 8 * words - max_bits)
+    keys = [
+        F.concat(F.lit(bytes([i])), *[F.substring(F.col("fp"), p + 1, 1) for p in g]) for i, g in enumerate(groups)
+    ]
+    lists = fps.select(F.explode(F.array(*keys)).alias("key"), "fp", F.lit(None).cast("binary").alias("value"))
+    return _links(lists, lambda raw, _: _near_bits(_bytes_of(raw), max_bits, least), block)
 
 
 def _fingerprints(shingle: int, words: int):
@@ -195,15 +262,72 @@ def simhash_components(
     return docs.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(df: DataFrame, *, id_col="doc_id", text_col="text", shingle=5, words=8, max_bits=78) -> DataFrame:
-    """The rows of df without near-duplicates: of each component the row with the smallest key stays.
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The distinct shingles of a text as sorted 64-bit hashes; a text of fewer words is one shingle, a blank one has none."""
+    return np.unique(_shingles(text, shingle))
+
+
+def _marks(shingle: int, words: int):
+    """Adds to each row node (its set of shingles, hashed), fp (the fingerprint of the set) and keys of its lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, fps, keys = [], [], []
+            for t in batch.column(batch.schema.get_field_index("__text")):
+                h = shingle_set(t.as_py(), shingle)
+                nodes.append(xxhash.xxh3_128_digest(h.tobytes()))
+                fps.append(_simhash(h, words))
+                keys.append(_list_keys(h))
+            at = pa.array(np.arange(0, BANDS * len(keys) + 1, BANDS), pa.int32())
+            columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names) if n != "__text"}
+            columns |= {"__node": pa.array(nodes, pa.binary()), "__fp": pa.array(fps, pa.binary())}
+            yield pa.record_batch(columns | {"__keys": pa.ListArray.from_arrays(at, pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))})
+
+    return run
+
+
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(2)]
+            yield pa.record_batch({"key": batch.column(0), "fp": batch.column(1), "value": pa.array(sets, pa.binary())})
+
+    return run
+
+
+def deduplicated(df: DataFrame, *, id_col="doc_id", text_col="text", shingle=5, words=8, max_bits=150, block: int = LIST_BLOCK) -> DataFrame:
+    """The rows of df without near-duplicates: of each component one row stays, the one with the smallest key.
+
+    Two texts are near-duplicates if their sets of shingles have a Jaccard similarity of SIMILAR (0.8) or
+    more, by exact count. Candidates share a list (one of BANDS keys of BAND_ROWS least hashes of the set; a
+    pair at 0.8 shares none with a chance of 5e-8) and have fingerprints that differ in max_bits or fewer
+    (of 512; at 0.8 sets of ten or more differ in 78 on average with a deviation of 8, the worst case of 4 of 5
+    in 96 with 9). Rows are judged one by one, whatever their keys repeat: null keys come last within a
+    component, ties go by the text's hash. Blank texts are copies of each other."""
+    schema = "__key long, __hash long, __row long, __node binary, __fp binary, __keys array<long>"
+    # Row numbers must not change between steps: rows are numbered once, with their texts.
+    whole = materialize(df.withColumn("__row", F.monotonically_increasing_id()))
+    rows = whole.select(F.col(id_col).cast("long").alias("__key"), F.xxhash64(text_col).alias("__hash"), "__row", F.col(text_col).alias("__text"))
+    marked = materialize(rows.mapInArrow(_marks(shingle, words), schema))
+    first = F.min(F.struct(F.col("__key").isNull().alias("no_key"), "__key", "__hash", "__row")).alias("best")
+    nodes = materialize(marked.groupBy("__node").agg(first, F.first("__fp").alias("fp"), F.first("__keys").alias("keys")))
+
+    keys = nodes.select(F.posexplode("keys").alias("band", "key"), "__node")
+    shared = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    listed = keys.join(shared, ["band", "key"]).join(nodes.select("__node", "fp"), "__node")
+    lists = materialize(listed.select(F.concat(F.hex("band"), F.hex("key")).cast("binary").alias("key"), F.col("__node").alias("fp"), F.col("fp").alias("value")))
+    near = materialize(_links(lists, lambda _, fps: _near_bits(_bytes_of(fps), max_bits, 0), block))
+    parts = connected_components(near)
+
+    # Shingles are compared only within the components of candidates, one text for each set.
+    wanted = parts.join(nodes, parts.node == F.col("__node")).select(F.col("component").alias("key"), F.col("node").alias("fp"), F.col("best.__row").alias("__row"))
+    texts = whole.select("__row", F.col(text_col).alias("text")).join(wanted, "__row").select("key", "fp", "text")
+    sets = materialize(texts.mapInArrow(_sets(shingle), "key binary, fp binary, value binary"))
+    links = materialize(_links(sets, lambda _, values: _near_sets([np.frombuffer(v, np.uint64) for v in values]), block))
+    parts = connected_components(links)
 
-    With words=8 a fingerprint has 512 bits; sets of shingles of Jaccard similarity 0.8 have weight
-    vectors at an angle of acos(2 * 0.8 / 1.8), which differ in 78 of 512 bits on average: the default
-    links documents of similarity 0.8 or more. Rows with a null key are kept if their component has no
-    key at all, else dropped as copies; of rows that repeat a key all but one go. Blank texts are copies
-    of each other."""
-    parts = simhash_components(df, id_col=id_col, text_col=text_col, shingle=shingle, words=words, max_bits=max_bits)
-    gone = materialize(parts.where("doc_id is null or doc_id <> component_id").select("doc_id").distinct())
-    kept = df.join(gone.where("doc_id is not null").withColumnRenamed("doc_id", "__gone"), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    return kept.dropDuplicates([id_col])
+    best = nodes.join(parts, F.col("__node") == F.col("node"), "left").groupBy(F.coalesce("component", "__node")).agg(F.min("best").alias("best"))
+    best = materialize(best.select(F.col("best.__row").alias("__row")))
+    gone = materialize(marked.select("__row").join(best, "__row", "left_anti"))
+    release(marked, nodes, lists, near, sets, links, best)
+    return whole.join(gone, "__row", "left_anti").select(*df.columns)

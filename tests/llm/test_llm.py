@@ -220,6 +220,54 @@ def test_links_of_close_fingerprints_in_blocks(spark):
         assert {f: got.get(f, f) for f in fps} == label
 
 
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def kept_by_brute_force(rows):
+    """Of each component of rows (key, text) at similarity 0.8 or more the key and shingles of the first."""
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    best = {}
+    for i, g in enumerate(group):
+        key = rows[i][0]
+        best[g] = min(best.get(g, (True, 0)), (key is None, key or 0)) if g in best else (key is None, key or 0)
+    return Counter(None if no_key else key for no_key, key in best.values())
+
+
+@pytest.mark.parametrize("block", [7, 512])
+def test_deduplicated_finds_all_pairs_at_the_similarity_asked(spark, block):
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows = []
+    # Texts of n words that share a beginning: the similarity lies closely on both sides of 0.8.
+    for i in range(150):
+        n = rng.choice((9, 40, 84, 104, 204))
+        a = [word() for _ in range(n)]
+        s = n - 4
+        common = math.ceil(8 * s / 9) - rng.randrange(2)  # 2 * s - common in the union
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(a[: common + 4] + [word() for _ in range(s - common)]))]
+    # Chains: each a near-copy of the next, the ends are not; and a large group of near-copies.
+    a = [word() for _ in range(60)]
+    for i in range(30):
+        a = a[2:] + [word(), word()]
+        rows.append((1000 + i, " ".join(a)))
+    a = [word() for _ in range(60)]
+    rows += [(2000 + i, " ".join([*a, word()])) for i in range(40)]
+    # Repeats count once: one more run of a passage leaves the set as it is.
+    rows += [(3000, " ".join(a[:30] * 2)), (3001, " ".join(a[:30] * 9)), (3002, "a b c"), (3003, "A  b\nc"), (3004, "a b d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = kept_by_brute_force(rows)
+    assert 200 < want.total() < 300
+    assert Counter(r.doc_id for r in simhash.deduplicated(df, block=block).collect()) == want
+
+
 def test_covering_holds():
     from itertools import combinations
 

@@ -268,6 +268,20 @@ def test_deduplicated_finds_all_pairs_at_the_similarity_asked(spark, block):
     assert Counter(r.doc_id for r in simhash.deduplicated(df, block=block).collect()) == want
 
 
+def test_deduplicated_judges_rows_not_keys(spark, docs, rows):
+    rng = random.Random(13)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    mine = [(None, a), (None, b), (None, b + " end"), (1, c), (1, d), (1, d), (2, e), (None, e), (3, c), (3, f), (None, None), (None, ""), (None, a)]
+    out = Counter((r.doc_id, r.text) for r in simhash.deduplicated(spark.createDataFrame(mine, "doc_id long, text string")).collect())
+    blank = out[None, None] + out[None, ""]
+    either = out[None, b] + out[None, b + " end"]
+    assert blank == either == 1 and out.total() == 7
+    assert all(out[k] == 1 for k in ((None, a), (1, c), (1, d), (2, e), (3, f)))
+    kept = Counter(r.doc_id for r in simhash.deduplicated(docs).collect())
+    assert kept == kept_by_brute_force([r[:2] for r in rows]) and kept[None] == kept[500] == 0
+
+
 def test_covering_holds():
     from itertools import combinations
 

@@ -2,7 +2,7 @@
 
 Fixed patterns give base spans that always stay. Around anchors (an at sign, a digit) a text has short
 zones of tokens; only these are decoded, as a token outside every zone cannot belong to an entity. In a zone
-each segment of up to MAX_TOKENS tokens is scored as a whole for each type from features of the whole
+each segment of up to MAX_CHARS characters is scored as a whole for each type from features of the whole
 span (its shape, digits, check digit, separators, the words before it), and a dynamic program over
 segment ends chooses boundaries and types jointly. Weights maximise the conditional likelihood of
 generated sentences of known spans (a fixed seed: the same weights everywhere), with exact gradients by
@@ -40,7 +40,8 @@ CUES = {
 }
 
 TYPES = ("none", *KINDS)
-MAX_TOKENS = 12
+#: Characters of a segment; a zone reaches as far from its anchors where no white space bounds it.
+MAX_CHARS = 80
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|_|\s+|\w")
 DIGIT = re.compile(r"[0-9]")
 ANCHOR = re.compile(r"[0-9@]|\((?:at|AT)\)|\[(?:at|AT)\]")
@@ -126,16 +127,16 @@ def _candidates(tokens: list[tuple[str, int, int]], text: str) -> list[tuple[int
         if t.isspace():
             continue
         has_digit = has_at = False
-        for j in range(i, min(len(tokens), i + MAX_TOKENS)):
+        for j in range(i, len(tokens)):
             t2, _, b = tokens[j]
-            if "\n" in t2:
+            if "\n" in t2 or b - a > MAX_CHARS:
                 break
             has_digit |= "0" <= t2[0] <= "9"
             has_at |= t2 in "@" or t2 in ("at", "AT")
             if t2.isspace():
                 continue
             n = b - a
-            if has_at and 6 <= n <= 80:
+            if has_at and n >= 6:
                 out.append((i, j + 1, "email"))
             if has_digit and t[0] in "0123456789+(" and "0" <= t2[0] <= "9":
                 span = text[a:b]
@@ -151,20 +152,44 @@ def _candidates(tokens: list[tuple[str, int, int]], text: str) -> list[tuple[int
     return out
 
 
+def _zone(text: str, first: int, last: int) -> tuple[int, int]:
+    """The zone of the anchors from first to last (the end of the last): some room on both sides, cut at white
+    space; where the room has none, as far as a segment can reach, or to white space on the way."""
+    a, b = max(0, first - 40), min(len(text), last + 40)
+    start = a
+    while start > 0 and start < first and not text[start - 1].isspace():
+        start += 1
+    if start == first and start > 0 and not text[start - 1].isspace():
+        start = a
+        while start > max(0, first - MAX_CHARS) and not text[start - 1].isspace():
+            start -= 1
+    while b < min(len(text), last + MAX_CHARS) and not text[b].isspace():
+        b += 1
+    return start, b
+
+
 def _zones(text: str) -> Iterator[tuple[int, int]]:
-    """Ranges of a text that hold an anchor, with room for cue words; ranges do not touch."""
-    start = end = -1
+    """Ranges of a text that hold its anchors, with room for cue words; ranges do not touch."""
+    start = end = first = last = -1
     for m in ANCHOR.finditer(text):
-        a, b = max(0, m.start() - 40), min(len(text), m.end() + 40)
-        if start < 0:
-            start, end = a, b
-        elif a <= end:
-            end = b
-        else:
+        if first >= 0 and m.start() - 40 <= last + 40:
+            last = m.end()
+            continue
+        if first >= 0:
+            a, b = _zone(text, first, last)
+            if end < 0:
+                start, end = a, b
+            elif a <= end:
+                end = max(end, b)
+            else:
+                yield start, end
+                start, end = a, b
+        first, last = m.start(), m.end()
+    if first >= 0:
+        a, b = _zone(text, first, last)
+        if end >= 0 and a > end:
             yield start, end
-            start, end = a, b
-    if start >= 0:
-        yield start, end
+        yield (start, b) if 0 <= end and a <= end else (a, b)
 
 
 def _tokens(text: str) -> list[tuple[str, int, int]]:
@@ -224,13 +249,15 @@ def _sentence(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
 def _lattice(text: str, a: int, b: int, lookup) -> tuple[list, list[tuple[int, int, str]], list[list[int]]]:
     tokens = [(t, x + a, y + a) for t, x, y in _tokens(text[a:b])]
     segments = _candidates(tokens, text)
+    # A zone cut inside a word shows that there is no white space before it.
+    floor = a - (a > 0 and not text[a - 1].isspace())
     feats = []
     for i, j, kind in segments:
         if kind == "none":
             names = ["none"]
         else:
             x, y = tokens[i][1], tokens[j - 1][2]
-            names = _features(kind, text[x:y], text[max(a, x - 24) : x], text[y : y + 1])
+            names = _features(kind, text[x:y], text[max(floor, x - 24) : x], text[y : y + 1])
         feats.append([k for n in names if (k := lookup(n)) is not None])
     return tokens, segments, feats
 
@@ -279,11 +306,6 @@ def field_spans(text: str, w: dict[str, float]) -> list[tuple[str, int, int]]:
     """Spans of the best segmentation of each zone of a text."""
     out = []
     for a, b in _zones(text):
-        # Zones cut inside a word start after it.
-        while a > 0 and a < b and not text[a - 1].isspace():
-            a += 1
-        while b < len(text) and not text[b].isspace():
-            b += 1
         tokens, segments, feats = _lattice(text, a, b, lambda n: n)
         n = len(tokens)
         best, back = [-math.inf] * (n + 1), [None] * (n + 1)

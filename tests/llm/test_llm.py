@@ -415,6 +415,32 @@ def test_field_on_held_out_sentences():
     assert right / (right + wrong) > 0.85 and right / (right + missed) > 0.85
 
 
+def test_zones_in_text_without_white_space():
+    w = pii.weights()
+    number = "0041446681800"
+    for text in ("x" * 50 + '{"tel":"' + number + '"},{"m":"' + "y" * 60 + '"}', "请联系我们的客服热线" * 6 + number + "工作时间是每天上午" * 8, "a," * 300 + number + ",b" * 300):
+        at = text.index(number)
+        assert any(a <= at and at + len(number) <= b for a, b in pii._zones(text))
+        tokens = [t for a, b in pii._zones(text) for t in pii._lattice(text, a, b, str)[0]]
+        assert number in [t for t, _, _ in tokens]
+    for entity in ("00 41 446 681800", "0041 446 681800"):
+        for text in (f"tel: {entity} ", "x" * 50 + f" tel: {entity} " + "y" * 90):
+            assert ("phone", text.index(entity), text.index(entity) + len(entity)) in pii.find_spans(text, w)[1]
+    rng = random.Random(14)
+    for _ in range(300):
+        text = "".join(rng.choice("ab漢,. 1@") if rng.random() < 0.1 else rng.choice("abc漢") for _ in range(rng.randint(1, 600)))
+        zones = list(pii._zones(text))
+        assert all(a < b < c for (a, b), (c, _) in zip(zones, zones[1:]))
+        assert all(any(a <= m.start() and m.end() <= b for a, b in zones) for m in pii.ANCHOR.finditer(text))
+
+
+@pytest.mark.parametrize("entity", ["word.42 (at) word.example.com", "jean.dupont (at) mail.example.co.uk"])
+def test_entities_of_many_tokens(entity):
+    text = f"Please write to email: {entity} today"
+    at = text.index(entity)
+    assert ("email", at, at + len(entity)) in pii.find_spans(text, pii.weights())[1]
+
+
 def test_sharding(docs, rows, empty):
     out = sharding.shard_documents(docs, limit_bytes=3000).collect()
     assert Counter((r.doc_id, r.n_bytes) for r in out) == Counter((i, len((t or "").encode())) for i, t, _, _ in rows)

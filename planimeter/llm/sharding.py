@@ -4,7 +4,8 @@ The directory is indexed by the leading bits of a key's hash. It starts with one
 the byte limit splits on its next bit, and only such buckets split, until every shard fits. The splits run
 over a table of bytes by cell (a cell is a prefix of CELL_BITS bits), not over the rows; only where a cell
 itself is too large are its rows cut into finer cells. Rows that share all bits of the hash cannot be
-split: their bucket gets overflow pages, filled in the order of key and bytes."""
+split: their bucket gets overflow pages, filled in the order of key, bytes and text hash: documents of up to
+half the limit share pages, longer ones have a page each."""
 
 from __future__ import annotations
 
@@ -51,17 +52,29 @@ def directory(sized: DataFrame, limit: int) -> DataFrame:
     return out
 
 
-def shard_documents(df: DataFrame, *, id_col="doc_id", text_col="text", limit_bytes: int = 4_000_000) -> DataFrame:
-    """One row a document: doc_id, n_bytes, shard (its bucket's prefix bits), depth, page, shard_bytes.
+def _paged(over: DataFrame, limit: int) -> DataFrame:
+    """Adds page to rows of buckets that cannot split; a page holds at most limit bytes, or one longer document."""
+    small = F.col("n_bytes") <= limit // 2
+    order = ("doc_id", "n_bytes", "hash", "row")
+    before = Window.partitionBy("prefix", "small").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # Pages start every `step` bytes, so that the row begun last in a page still ends within the limit.
+    widths = over.where(small).groupBy("prefix").agg((limit - F.max("n_bytes")).alias("step"), F.sum("n_bytes").alias("all"), F.max(F.struct(*order))["n_bytes"].alias("last"))
+    widths = widths.select("prefix", "step", (F.floor((F.col("all") - F.col("last")) / F.col("step")) + 1).alias("pages"))
+    rows = over.withColumn("small", small).join(widths, "prefix", "left")
+    shared = F.floor(F.coalesce(F.sum("n_bytes").over(before), F.lit(0)) / F.col("step"))
+    alone = F.coalesce("pages", F.lit(0)) + F.count(F.lit(1)).over(before)
+    return rows.withColumn("page", F.when(F.col("small"), shared).otherwise(alone).cast("long")).drop("small", "step", "pages")
 
-    n_bytes is the text's UTF-8 length (null: 0). page is 0 but in buckets that cannot split any further
-    (repeated keys), where pages hold at most limit_bytes each, or one longer document. Null keys share
-    one hash. An empty table gives no rows; other columns are not read."""
+
+def _placed(df: DataFrame, row: Column, id_col: str, text_col: str, limit_bytes: int) -> DataFrame:
+    """What shard_documents gives, and each row's own number in the column row."""
     sized = materialize(
         df.select(
             F.col(id_col).alias("doc_id"),
             hash_bits(F.col(id_col)).alias("bits"),
             F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"),
+            F.xxhash64(text_col).alias("hash"),
+            row.alias("row"),
         )
     )
     buckets = materialize(directory(sized, limit_bytes))
@@ -74,18 +87,27 @@ def shard_documents(df: DataFrame, *, id_col="doc_id", text_col="text", limit_by
     if placed is None:
         placed = sized.withColumns({"prefix": F.lit(""), "depth": F.lit(0), "shard_bytes": F.lit(0).cast("long")})
     over = F.col("shard_bytes") > limit_bytes
-    rank = Window.partitionBy("prefix").orderBy("doc_id", "n_bytes").rowsBetween(Window.unboundedPreceding, -1)
-    paged = placed.where(over).withColumn("before", F.coalesce(F.sum("n_bytes").over(rank), F.lit(0)))
-    paged = paged.withColumn("page", F.floor(F.col("before") / F.lit(limit_bytes)).cast("long")).drop("before")
+    paged = _paged(placed.where(over), limit_bytes)
     return (
         placed.where(~over).withColumn("page", F.lit(0).cast("long")).unionByName(paged)
-        .select("doc_id", "n_bytes", F.col("prefix").alias("shard"), F.col("depth").cast("long").alias("depth"), "page", "shard_bytes")
+        .select("doc_id", "n_bytes", F.col("prefix").alias("shard"), F.col("depth").cast("long").alias("depth"), "page", "shard_bytes", "row")
     )
 
 
+def shard_documents(df: DataFrame, *, id_col="doc_id", text_col="text", limit_bytes: int = 4_000_000) -> DataFrame:
+    """One row a document: doc_id, n_bytes, shard (its bucket's prefix bits), depth, page, shard_bytes.
+
+    n_bytes is the text's UTF-8 length (null: 0). page is 0 but in buckets that cannot split any further
+    (repeated keys), where pages hold at most limit_bytes each, or one longer document. Null keys share
+    one hash. An empty table gives no rows; other columns are not read."""
+    return _placed(df, F.monotonically_increasing_id(), id_col, text_col, limit_bytes).drop("row")
+
+
 def write_shards(df: DataFrame, path: str, *, id_col="doc_id", text_col="text", limit_bytes: int = 128_000_000) -> None:
-    """Write df as one Parquet folder a shard (shard=<prefix>); every row once."""
-    shards = shard_documents(df, id_col=id_col, text_col=text_col, limit_bytes=limit_bytes).select("doc_id", "shard").distinct()
-    key = F.col(id_col).eqNullSafe(F.col("__id"))
-    rows = df.join(shards.withColumnRenamed("doc_id", "__id"), key).drop("__id")
-    rows.repartition("shard").write.partitionBy("shard").mode("overwrite").parquet(path)
+    """Write df as one Parquet folder a page of a shard (shard=<prefix>/page=<number>); every row once."""
+    # Rows are numbered once, so that each goes by its own page, whatever its key repeats.
+    whole = materialize(df.withColumn("__row", F.monotonically_increasing_id()))
+    pages = _placed(whole, F.col("__row"), id_col, text_col, limit_bytes).select(F.col("row").alias("__row"), "shard", "page")
+    rows = whole.join(pages, "__row").drop("__row")
+    rows.repartition("shard", "page").write.partitionBy("shard", "page").mode("overwrite").parquet(path)
+    release(whole)

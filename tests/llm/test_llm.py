@@ -441,6 +441,30 @@ def test_entities_of_many_tokens(entity):
     assert ("email", at, at + len(entity)) in pii.find_spans(text, pii.weights())[1]
 
 
+def test_pages_stay_within_the_limit(spark, tmp_path):
+    rng = random.Random(15)
+    sizes = [rng.choice((0, 1, 10, 300, 900, 1100, 1900, 2000)) for _ in range(400)] + [2001, 5000, 1999, 1000, 1001]
+    rows = [(None if i % 2 else 7, f"{i:05}"[:n] + "x" * max(0, n - 5)) for i, n in enumerate(sizes)] + [(9, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sharding.shard_documents(df, limit_bytes=2000).collect()
+    assert Counter((r.doc_id, r.n_bytes) for r in out) == Counter((i, len(t)) for i, t in rows)
+    pages = defaultdict(list)
+    for r in out:
+        pages[r.shard, r.page].append(r.n_bytes)
+    assert all(sum(p) <= 2000 or len(p) == 1 for p in pages.values())
+    for s in {s for s, _ in pages}:
+        numbers = [p for t, p in pages if t == s]
+        assert sorted(numbers) == list(range(len(numbers)))
+        assert len(numbers) <= 2 * sum(r.n_bytes for r in out if r.shard == s) / 1000 + 1
+    sharding.write_shards(df, f"{tmp_path}/out", limit_bytes=2000)
+    back = spark.read.option("basePath", f"{tmp_path}/out").parquet(f"{tmp_path}/out").withColumn("file", F.regexp_extract(F.input_file_name(), "(.*)/", 1)).collect()
+    assert Counter((r.doc_id, r.text) for r in back) == Counter(rows)
+    folders = defaultdict(list)
+    for r in back:
+        folders[r.file].append(len(r.text))
+    assert sorted(map(sorted, folders.values())) == sorted(map(sorted, pages.values()))
+
+
 def test_sharding(docs, rows, empty):
     out = sharding.shard_documents(docs, limit_bytes=3000).collect()
     assert Counter((r.doc_id, r.n_bytes) for r in out) == Counter((i, len((t or "").encode())) for i, t, _, _ in rows)

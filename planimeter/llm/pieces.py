@@ -1,19 +1,22 @@
 """SentencePiece encoding with sampled segmentations, and lossless decoding.
 
-A text, with one space put before it, is cut into chunks (a letter run, a digit, a run of marks, each with
-the space before it; any other character). The lattice of a chunk holds every vocabulary piece
-between its characters, and byte pieces for characters no piece covers. Forward filtering sums the
-probabilities of all paths to each position; backward sampling then draws a path from the end, piece by
-piece, exactly in proportion to its probability. Each draw is a hash of the row's key, the chunk's place and
-the step, so a row's segmentation is the same in any run and on any executor.
-
-Chunks repeat, so each distinct chunk is filtered once for many occurrences, and all occurrences of a batch
-are sampled together by array operations. A piece's probability falls with its rank in the model's
-merge order (Zipf-Mandelbrot); paths are drawn in proportion to their probability to the power `sharpness`."""
+The lattice of a text, with one space put before it, holds every vocabulary piece that stands between its
+characters, and byte pieces for characters no piece covers. Forward filtering sums the probabilities of
+all paths to each node; backward sampling then draws a path from the end, piece by piece, exactly in
+proportion to its probability. A node that no piece of the vocabulary can cross (its two characters are
+neighbours in none) lies on every path, so the lattice falls into chunks there and is still the whole text's: filtering
+and sampling chunk by chunk give the distribution of the whole lattice, however long a chunk is. Each draw
+is a hash of the row's key, the chunk's place and the step, so a row's segmentation is the same in any run and
+on any executor.
+
+Chunks repeat, so each distinct chunk of a pass is filtered once for many occurrences, and all occurrences
+are sampled together by array operations; filtering works in logarithms, so long chunks do not underflow. A
+piece's probability falls with its rank in the model's merge order (Zipf-Mandelbrot); paths are drawn in
+proportion to their probability to the power `sharpness`. A pass holds about PASS_CHARS characters: a longer
+text goes through several, cut between chunks."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,13 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from planimeter.llm.common import trim
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Chunks are cut after so many letters or marks, which bounds a lattice.
-CHUNK = re.compile(r" ?[^\W\d_]{1,32}| ?[0-9]| ?[^\w\s]{1,16}|.", re.DOTALL)
 MARK = "▁"
-#: Shift of the Zipf-Mandelbrot rule; letters of one array pass.
-SHIFT, PASS_CHARS = 1000.0, 4_000_000
-
+#: Shift of the Zipf-Mandelbrot rule; characters of one array pass.
+SHIFT, PASS_CHARS = 1000.0, 1_000_000
 
 HASH = np.uint64(0x9E3779B97F4A7C15)
 
@@ -77,11 +79,27 @@ class Vocabulary:
         self.flat = np.frombuffer(b"".join(texts), np.uint8)
         self.lengths = np.array([len(t) for t in texts])
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        #: Numbers of the characters of longer pieces (0: in none), and which two stand side by side in a piece.
+        letters = {c: i for i, c in enumerate(sorted({c for s in self.pieces if len(s) > 1 for c in s}), 1)}
+        self.letter = np.zeros(0x110000, np.uint16)
+        self.letter[[ord(c) for c in letters]] = list(letters.values())
+        self.joined = np.zeros((len(letters) + 1) ** 2, bool)
+        self.letters = len(letters) + 1
+        for piece in self.pieces:
+            for x, y in zip(piece, piece[1:], strict=False):
+                self.joined[letters[x] * self.letters + letters[y]] = True
+
+    def cuts(self, text: str) -> np.ndarray:
+        """Places inside a text that no piece can cross."""
+        kinds = self.letter[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32)
+        return np.flatnonzero(~self.joined[kinds[:-1] * self.letters + kinds[1:]]) + 1
 
 
 @lru_cache(2)
 def vocabulary(model: str, sharpness: float) -> Vocabulary:
-    return Vocabulary(model, sharpness)
+    out = Vocabulary(model, sharpness)
+    trim()
+    return out
 
 
 class Lattices:
@@ -126,29 +144,37 @@ class Lattices:
         chances.append(np.full(len(bare), v.fallback))
         # The longest pieces first: they are likeliest, and sampling looks from the front.
         start, length, piece, chance = (np.concatenate(x[::-1]) for x in (starts, lengths, pieces, chances))
-        end_place = (place[start] + length).astype(np.uint8)
+        end_place = place[start] + length
         source = start + of[start]
         end = source + length
         order = np.argsort(end, kind="stable")
         order = order[np.argsort(end_place[order], kind="stable")]
-        source, end, piece, chance, end_place = source[order], end[order], piece[order], chance[order], end_place[order]
+        source, end, piece, end_place = source[order], end[order], piece[order], end_place[order]
+        chance = np.log(chance[order])
         self.source, self.piece = source, piece
-        alpha = np.zeros(int(ends[-1]) + len(chunks) if len(chunks) else 0)
-        alpha[self.first] = 1.0
+        alpha = np.zeros(int(ends[-1]) + len(chunks) if len(chunks) else 0)  # logarithms
         self.mass = np.empty(len(source))
         self.at = np.zeros(len(alpha), np.int32)  # a node's first arc
         cuts = np.searchsorted(end_place, np.arange(int(end_place[-1]) + 2 if len(end_place) else 1))
-        for a, b in zip(cuts[1:-1], cuts[2:], strict=True):
+        rank = np.empty(len(source), np.int32)
+        for a, b in zip(cuts[1:-1].tolist(), cuts[2:].tolist(), strict=True):
             if a == b:
                 continue
-            weight = alpha[source[a:b]] * chance[a:b]
+            weight = alpha[source[a:b]] + chance[a:b]
             new = np.flatnonzero(np.diff(end[a:b], prepend=-1))
+            top = np.maximum.reduceat(weight, new)
+            size = np.diff(new, append=b - a)
+            weight = np.exp(weight - np.repeat(top, size))
             total = np.add.reduceat(weight, new)
-            alpha[end[a:b][new]] = total
-            group = np.repeat(np.arange(len(new)), np.diff(new, append=b - a))
-            self.mass[a:b] = np.cumsum(weight / total[group]) - group
-            self.mass[a + np.append(new[1:], b - a) - 1] = 2.0  # the last arc takes what is left
+            alpha[end[a:b][new]] = top + np.log(total)
+            self.mass[a:b] = weight / np.repeat(total, size)
+            rank[a:b] = np.arange(b - a, dtype=np.int32) - np.repeat(new, size)
             self.at[end[a:b][new]] = a + new
+        # Shares of a node's arcs summed from its first, each node by itself; the last arc takes what is left.
+        for k in range(1, int(rank.max(initial=0)) + 1):
+            x = np.flatnonzero(rank == k)
+            self.mass[x] += self.mass[x - 1]
+        self.mass[np.flatnonzero(np.append(rank[1:], 0) == 0)] = 2.0
 
 
 def _draw(seed: np.ndarray, step: int) -> np.ndarray:
@@ -170,27 +196,93 @@ class Encoder:
         name = f"k{key}" if key is not None else f"t{xxhash.xxh64_intdigest(text.encode('utf-8', 'surrogatepass'))}"
         return xxhash.xxh64_intdigest(name, self.seed)
 
+    def _parts(self, texts: list[str]) -> Iterator[tuple[int, str]]:
+        """Texts with a space before them (empty ones without), by row; long ones in parts that no piece crosses."""
+        for i, text in enumerate(texts):
+            text = " " + text if text else ""
+            start, size = 0, PASS_CHARS
+            while len(text) - start > size:
+                cuts = self.v.cuts(text[start : start + size])
+                if len(cuts):
+                    yield i, text[start : start + int(cuts[-1])]
+                    start, size = start + int(cuts[-1]), PASS_CHARS
+                else:
+                    size *= 2
+            yield i, text[start:]
+
+    def passes(self, keys: list, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows in their order as first, end, piece ids end to end, where each row's begin (one more entry than
+        rows), and whether each row's ids spell its text."""
+        seeds = [self._row_seed(k, t) for k, t in zip(keys, texts, strict=True)]
+        held: list[tuple[np.ndarray, int, bool]] = []  # of a row whose parts are not all done: ids, chunks, lossless
+        first = 0
+        work: list[tuple[int, str]] = []
+        size = 0
+
+        def flush(ends: bool):
+            nonlocal held, first, work, size
+            chunks_before = sum(c for _, c, _ in held)
+            ids, bounds, counts, same = self._encode_parts(work, seeds, first, chunks_before)
+            last = work[-1][0] + ends  # more of the last row may follow
+            rows = np.array([r for r, _ in work if r < last], np.int64) - first
+            whole = len(rows)
+            n = np.bincount(rows, np.diff(bounds)[:whole], minlength=last - first).astype(np.int64)
+            fine = np.ones(last - first, bool)
+            np.logical_and.at(fine, rows, same[:whole])
+            out = None
+            if last > first:
+                early = [x for x, _, _ in held]
+                n[0] += sum(map(len, early))
+                fine[0] &= all(f for _, _, f in held)
+                out = first, last, np.concatenate([*early, ids[: bounds[whole]]]), np.concatenate([[0], np.cumsum(n)]), fine
+                held = []
+            if not ends:
+                held.append((ids[bounds[whole] :], int(counts[whole:].sum()), bool(same[whole:].all())))
+            first, work, size = last, [], 0
+            return out
+
+        for i, part in self._parts(texts):
+            work.append((i, part))
+            size += len(part)
+            if size >= PASS_CHARS and (out := flush(False)):
+                yield out
+        if work and (out := flush(True)):
+            yield out
+        elif held:
+            early = [x for x, _, _ in held]
+            yield first, first + 1, np.concatenate(early), np.array([0, sum(map(len, early))]), np.array([all(f for _, _, f in held)])
+
     def encode(self, keys: list, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts end to end, and where each text's begin (one more entry than texts)."""
-        found: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if text:
-                had = len(found)
-                found += CHUNK.findall(" " + text)
-                counts[i] = len(found) - had
-        n = len(found)
-        if not n:
-            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        done = list(self.passes(keys, texts))
+        ids = np.concatenate([np.zeros(0, np.int32), *[x[2] for x in done]])
+        return ids, np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *[np.diff(x[3]) for x in done]]))])
+
+    def _encode_parts(self, work: list[tuple[int, str]], seeds: list[int], first_row: int, chunks_before: int):
+        """Ids of parts end to end, where each part's begin, its chunks, and whether its ids spell it."""
+        sizes = np.array([len(p) for _, p in work], np.int64)
+        ends = np.cumsum(sizes)
+        text = "".join(p for _, p in work)
+        if not text:
+            return np.zeros(0, np.int32), np.zeros(len(work) + 1, np.int64), np.zeros(len(work), np.int64), np.ones(len(work), bool)
+        cuts = np.union1d(self.v.cuts(text), np.concatenate([[0], ends]))
+        counts = np.diff(np.searchsorted(cuts, np.concatenate([[0], ends])))
+        n = len(cuts) - 1
+        bounds = cuts.tolist()
+        found = [text[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
         known = dict.fromkeys(found)
         known = dict(zip(known, range(len(known)), strict=True))
         chunk = np.fromiter(map(known.__getitem__, found), np.int32, n)
-        del found
+        del found, bounds
         lat = Lattices(self.v, list(known))
         del known
-        place = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
-        seeds = np.array([self._row_seed(k, t) for k, t in zip(keys, texts, strict=True)], np.uint64)
-        seed = np.repeat(seeds, counts) + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        before = np.cumsum(counts) - counts
+        rows = np.array([r for r, _ in work], np.int64)
+        # A row's chunks count on from its earlier parts, in this pass or the ones before.
+        base = before[np.searchsorted(rows, rows)]
+        base[rows == first_row] -= chunks_before
+        place = np.arange(n) - np.repeat(base, counts)
+        seed = np.repeat(np.array([seeds[r] for r, _ in work], np.uint64), counts) + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         first = lat.first[chunk]
         steps, active, node, sizes, step = [], np.arange(n, dtype=np.int32), lat.last[chunk], np.zeros(n, np.int32), 0
         while len(active):
@@ -208,9 +300,14 @@ class Encoder:
         ids = np.empty(int(offset[-1]), np.int32)
         for k, (who, what) in enumerate(steps):
             ids[offset[who] - 1 - k] = what
-        ends = np.concatenate([[0], offset])
-        bounds = ends[np.concatenate([[0], np.cumsum(counts)])]
-        return self._bytes_for_rare(ids, bounds, lat.rare)
+        del steps
+        places = np.concatenate([[0], offset])
+        ids, bounds = self._bytes_for_rare(ids, places[np.concatenate([[0], np.cumsum(counts)])], lat.rare)
+        spelled = self.decode(ids)
+        if spelled == text.encode("utf-8", "surrogatepass"):
+            return ids, bounds, counts, np.ones(len(work), bool)
+        same = [self.decode(ids[a:b]) == p.encode("utf-8", "surrogatepass") for (_, p), a, b in zip(work, bounds, bounds[1:], strict=False)]
+        return ids, bounds, counts, np.array(same)
 
     def _bytes_for_rare(self, ids: np.ndarray, bounds: np.ndarray, rare_codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rare = ids >= self.v.size
@@ -240,32 +337,13 @@ def decode_ids(ids, model: str = MODEL) -> str:
     return raw[1:].decode("utf-8", "surrogatepass")
 
 
-def _passes(texts: list[str]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= PASS_CHARS:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def _encode(model: str, sharpness: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model, sharpness, seed)
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            texts = [t.as_py() or "" for t in batch.column(1)]
-            for a, b in _passes(texts):
-                ids, bounds = encoder.encode(keys[a:b], texts[a:b])
-                spelled = encoder.decode(ids).decode("utf-8", "surrogatepass")
-                lossless = []
-                at = 0
-                for t in texts[a:b]:
-                    size = len(t) + 1 if t else 0
-                    lossless.append(spelled[at : at + size] == (" " + t if t else ""))
-                    at += size
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for a, b, ids, bounds, lossless in encoder.passes(keys, texts):
                 yield pa.record_batch(
                     {
                         "doc_id": batch.column(0).slice(a, b - a),
@@ -274,6 +352,7 @@ def _encode(model: str, sharpness: float, seed: int):
                         "lossless": pa.array(lossless, pa.bool_()),
                     }
                 )
+            trim()
 
     return run
 

@@ -3,7 +3,8 @@
 Statistics of each text come from one pass of built-in expressions. Labelled statistics are laid on fixed
 grids, and sequential covering reads counts of (feature, bin, label) from Spark: a rule grows by the
 threshold with the best information gain on two thirds of the labelled rows, is pruned on the other
-third, and joins the list if it is precise there; what it covers leaves, and the next rule grows. The
+third, and joins the list if it is precise there; what it covers leaves, and the next rule grows. A
+candidate that is not precise enough is discarded, and the next one grows from another first threshold. The
 list is emitted as one ordered Spark conditional expression. Only count tables of at most
 (features x bins) rows reach the driver, whatever the number of labelled rows."""
 
@@ -150,15 +151,18 @@ def _gridded(df: DataFrame) -> DataFrame:
 
 
 def learn_rules(
-    labelled: DataFrame, *, max_rules: int = 8, max_tests: int = 4, min_precision: float = 0.95, min_support: int = 5
+    labelled: DataFrame, *, max_rules: int = 8, max_tests: int = 4, min_precision: float = 0.95, min_support: int = 5, max_discards: int = 6
 ) -> list[Rule]:
     """Ordered rules that reject. labelled: the g_ columns, bad (boolean), fold (0 to 2; 0 prunes).
 
+    A rule joins if at least min_support bad rows of the pruning third fall under it, min_precision of all it covers
+    there. After max_discards candidates that do not, the list ends.
     Ties in gain go to the first feature, then the smaller bound, so reruns agree. No labelled rows, or
     labels of one kind only: no rules."""
     names = [n for n, _ in GRIDS]
     rules: list[Rule] = []
     left = labelled
+    discarded: set[Test] = set()
     long = F.explode(F.array(*[F.struct(F.lit(n).alias("f"), F.col(f"g_{n}").alias("b")) for n in names])).alias("x")
 
     def counts(df: DataFrame) -> dict[str, list[tuple[int, int]]]:
@@ -168,7 +172,7 @@ def learn_rules(
             table[r["f"]][r["b"]] = (r["p"], r["n"])
         return table
 
-    while len(rules) < max_rules:
+    while len(rules) < max_rules and len(discarded) < max_discards:
         grow = left.where("fold > 0")
         tests: list[Test] = []
         while len(tests) < max_tests:
@@ -185,7 +189,7 @@ def learn_rules(
                     p, n = p + table[name][bound][0], n + table[name][bound][1]
                     for above, (a, b) in ((False, (p, n)), (True, (p0 - p, n0 - n))):
                         gain = a * (math.log2(a / (a + b)) - math.log2(p0 / (p0 + n0))) if a else 0.0
-                        if gain > best + 1e-9:
+                        if gain > best + 1e-9 and (tests or Test(name, bound, above) not in discarded):
                             best, found = gain, Test(name, bound, above)
             if found is None:
                 break
@@ -202,7 +206,8 @@ def learn_rules(
         k = -max(worth)[1]
         p, n = row[f"p{k}"], row[f"n{k}"]
         if p < min_support or p / (p + n) < min_precision:
-            break
+            discarded.add(tests[0])
+            continue
         rules.append(Rule(tuple(tests[: k + 1]), p / (p + n), p))
         left = left.where(~rules[-1].column())
     return rules
@@ -216,13 +221,23 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(None).cast("int") if out is None else out.cast("int")
 
 
+def reason(rules: list[Rule]) -> Column:
+    """The text of the rule that fired, or null."""
+    out = F.lit(None).cast("string")
+    for i, r in enumerate(rules):
+        out = F.when(F.col("rule") == i, F.lit(r.sql())).otherwise(out)
+    return out
+
+
 def _labelled(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     known = labels.select(F.col(id_col).alias("doc_id"), (F.col(label_col) == 0).alias("bad")).where("doc_id is not null and bad is not null")
     return stats.join(known, "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(3)).cast("int"))
 
 
 def quality_rules(df: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="quality", **learn) -> DataFrame:
-    """One row a document: doc_id, the statistics, base_failed, rule (number of the rule that fired), kept.
+    """One row a document: doc_id, the statistics, base_failed, kept, rule (number of the rule that fired), reason (its text).
+
+    The list itself is the attribute `rules` of the frame returned.
 
     base_failed: fewer than 20 words, or over 30 % of them in repeated 8-word windows. Null and empty
     texts have no words and fail. Rows with null keys are judged like any other but are never labelled;
@@ -231,11 +246,10 @@ def quality_rules(df: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col
     stats = df.select(F.col(id_col).alias("doc_id"), document_stats(F.col(text_col)).alias("s"))
     stats = materialize(_gridded(stats.select("doc_id", *_flat())))
     rules = learn_rules(materialize(_labelled(stats, labels, id_col, label_col)), **learn)
-    out = _judged(stats, rules)
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+    out = _judged(stats, rules).select(*columns, reason(rules).alias("reason"))
     out.rules = rules
-    return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
-    )
+    return out
 
 
 def _judged(stats: DataFrame, rules: list[Rule]) -> DataFrame:

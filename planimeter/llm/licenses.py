@@ -52,23 +52,23 @@ def words_of_text(text: str | None) -> list[bytes]:
 
 
 class Automaton:
-    """Generalised suffix automaton of token lists, with where each state's strings end by template."""
+    """Generalised suffix automaton of token lists, with all places where each state's strings end, by template."""
 
     def __init__(self, templates: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link = [-1]
         self.length = [0]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[dict[int, set[int]]] = [{}]
         for t, tokens in enumerate(templates):
             last = 0
             for i, c in enumerate(tokens):
                 last = self._extend(last, c)
-                self.ends[last].setdefault(t, i + 1)
+                self.ends[last].setdefault(t, set()).add(i + 1)
         # A state's strings also end wherever those of the states that link to it do.
         for s in sorted(range(1, len(self.length)), key=lambda s: -self.length[s]):
-            for t, e in self.ends[s].items():
-                up = self.ends[self.link[s]]
-                up[t] = min(up.get(t, e), e)
+            if self.link[s]:  # the empty string ends everywhere
+                for t, e in self.ends[s].items():
+                    self.ends[self.link[s]].setdefault(t, set()).update(e)
 
     def _add(self, length: int, edges: dict[int, int], link: int) -> int:
         self.next.append(edges)
@@ -135,8 +135,8 @@ class Scanner:
         ids = [get(w, -1) for w in words]
         by_template = defaultdict(list)
         for start, length, state in self.automaton.matches(ids, LEAST_MATCH):
-            for t, end in self.automaton.ends[state].items():
-                by_template[t].append((start, end - length, length))
+            for t, ends in self.automaton.ends[state].items():
+                by_template[t] += [(start, end - length, length) for end in sorted(ends)]
         best = {}
         for t, found in by_template.items():
             # Chains: matches in the order of the file, onward in the template, not far apart.

@@ -78,7 +78,7 @@ def oracle_sql() -> dict[str, str]:
 SHARDING_SQL = """
 WITH RECURSIVE d AS MATERIALIZED (
   SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
-         lpad(bin(('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT), 60, '0') AS bits
+         lpad(bin(('0x' || substr(md5(coalesce(doc_id::VARCHAR, 't' || text, '')), 1, 15))::BIGINT), 60, '0') AS bits
   FROM documents
 ), b(prefix, depth, bytes) AS (
   SELECT '', 0::BIGINT, sum(n_bytes)::BIGINT FROM d

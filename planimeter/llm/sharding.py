@@ -3,9 +3,9 @@
 The directory is indexed by the leading bits of a key's hash. It starts with one bucket; a bucket over
 the byte limit splits on its next bit, and only such buckets split, until every shard fits. The splits run
 over a table of bytes by cell (a cell is a prefix of CELL_BITS bits), not over the rows; only where a cell
-itself is too large are its rows cut into finer cells. Rows that share all bits of the hash cannot be
-split: their bucket gets overflow pages, filled in the order of key, bytes and text hash: documents of up to
-half the limit share pages, longer ones have a page each."""
+itself is too large are its rows cut into finer cells. The bits of a key are followed by bits of the text, so that
+rows of one key, however many, still split. Rows that share all bits are copies of one text: their bucket
+gets overflow pages of as many rows as fit, numbered by salted parts, so no task orders a whole bucket."""
 
 from __future__ import annotations
 
@@ -14,22 +14,30 @@ from pyspark.sql import functions as F
 
 from planimeter.llm.common import materialize, release
 
-#: Bits by which cells get finer at a time, and of the hash.
-CELL_BITS, HASH_BITS = 12, 60
+#: Bits by which cells get finer at a time, of a key's hash, and of all.
+CELL_BITS, KEY_BITS, HASH_BITS = 12, 60, 120
 
 
-def hash_bits(key: Column) -> Column:
-    """60 bits of the MD5 of the key's text as a string of 0s and 1s; null keys hash as an empty text."""
-    digits = F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 15)
-    return F.lpad(F.conv(digits, 16, 2), HASH_BITS, "0")
+def hash_bits(key: Column, text: Column) -> Column:
+    """60 bits of the MD5 of the key's text as a string of 0s and 1s; a null key goes by its document's text."""
+    name = F.coalesce(key.cast("string"), F.concat(F.lit("t"), text), F.lit(""))
+    return F.lpad(F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 2), KEY_BITS, "0")
+
+
+def _prefix(width: int) -> Column:
+    """The first bits of a row's key hash and, beyond those, of its text's hash."""
+    if width <= KEY_BITS:
+        return F.substring("bits", 1, width)
+    more = F.lpad(F.bin(F.shiftrightunsigned(F.coalesce("hash", F.lit(0)), 4)), HASH_BITS - KEY_BITS, "0")
+    return F.concat("bits", F.substring(more, 1, width - KEY_BITS))
 
 
 def directory(sized: DataFrame, limit: int) -> DataFrame:
-    """Buckets as prefix, depth, bytes, from rows of bits and bytes."""
+    """Buckets as prefix, depth, bytes, from rows of bits, hash and n_bytes."""
     found = []
-    rest, start = sized, 0
-    for width in range(CELL_BITS, HASH_BITS + 1, CELL_BITS):
-        cells = materialize(rest.groupBy(F.substring("bits", 1, width).alias("cell")).agg(F.sum("n_bytes").alias("bytes")))
+    rest, start, width = sized, 0, CELL_BITS
+    while True:
+        cells = materialize(rest.groupBy(_prefix(width).alias("cell")).agg(F.sum("n_bytes").alias("bytes")))
         # One pass over the small cell table: the depth of a cell's bucket is the first whose sum fits.
         sums = []
         for depth in range(start, width + 1):
@@ -44,8 +52,20 @@ def directory(sized: DataFrame, limit: int) -> DataFrame:
         if width == HASH_BITS or not over.limit(1).count():
             found.append(over.select(F.col("__cell").alias("prefix"), F.lit(width).alias("depth"), F.col("__bytes").alias("bytes")))
             break
-        rest = rest.join(over, F.substring("bits", 1, width) == F.col("__cell"), "left_semi")
-        start = width + 1
+        # Rows of a cell that is too large share their first `same` bits. If they share all, its bucket is at the last bit;
+        # the others split again from the first bit that parts any of them on.
+        full = _prefix(HASH_BITS)
+        rest = rest.join(over, _prefix(width) == F.col("__cell"), "left_semi")
+        ends = rest.groupBy(_prefix(width).alias("__cell")).agg(F.min(full).alias("first"), F.max(full).alias("last"), F.sum("n_bytes").alias("bytes"))
+        alike = F.filter(F.sequence(F.lit(1), F.lit(HASH_BITS)), lambda i: F.substring("first", F.lit(1), i) == F.substring("last", F.lit(1), i))
+        ends = materialize(ends.withColumn("same", F.size(alike)))
+        whole = ends.where(F.col("same") == HASH_BITS)
+        found.append(whole.select(F.col("first").alias("prefix"), F.lit(HASH_BITS).alias("depth"), "bytes"))
+        same = ends.where(F.col("same") < HASH_BITS).agg(F.min("same")).first()[0]
+        if same is None:
+            break
+        rest = rest.join(whole.select("__cell"), _prefix(width) == F.col("__cell"), "left_anti")
+        start, width = same + 1, min(HASH_BITS, same + CELL_BITS)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -54,16 +74,19 @@ def directory(sized: DataFrame, limit: int) -> DataFrame:
 
 def _paged(over: DataFrame, limit: int) -> DataFrame:
     """Adds page to rows of buckets that cannot split; a page holds at most limit bytes, or one longer document."""
-    small = F.col("n_bytes") <= limit // 2
-    order = ("doc_id", "n_bytes", "hash", "row")
-    before = Window.partitionBy("prefix", "small").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    # Pages start every `step` bytes, so that the row begun last in a page still ends within the limit.
-    widths = over.where(small).groupBy("prefix").agg((limit - F.max("n_bytes")).alias("step"), F.sum("n_bytes").alias("all"), F.max(F.struct(*order))["n_bytes"].alias("last"))
-    widths = widths.select("prefix", "step", (F.floor((F.col("all") - F.col("last")) / F.col("step")) + 1).alias("pages"))
-    rows = over.withColumn("small", small).join(widths, "prefix", "left")
-    shared = F.floor(F.coalesce(F.sum("n_bytes").over(before), F.lit(0)) / F.col("step"))
-    alone = F.coalesce("pages", F.lit(0)) + F.count(F.lit(1)).over(before)
-    return rows.withColumn("page", F.when(F.col("small"), shared).otherwise(alone).cast("long")).drop("small", "step", "pages")
+    parts = 4 * int(over.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = over.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
+    sums = salted.groupBy("prefix", "salt").agg(F.count(F.lit(1)).alias("n"), F.max("n_bytes").alias("most"))
+    ahead = Window.partitionBy("prefix").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    places = sums.select(
+        "prefix",
+        "salt",
+        F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"),
+        F.greatest(F.lit(1), F.floor(limit / F.max("most").over(Window.partitionBy("prefix")))).alias("fit"),
+    )
+    nth = F.row_number().over(Window.partitionBy("prefix", "salt").orderBy("row")) - 1
+    rows = salted.withColumn("nth", nth).join(places, ["prefix", "salt"])
+    return rows.withColumn("page", F.floor((F.col("ahead") + F.col("nth")) / F.col("fit")).cast("long")).drop("salt", "nth", "ahead", "fit")
 
 
 def _placed(df: DataFrame, row: Column, id_col: str, text_col: str, limit_bytes: int) -> DataFrame:
@@ -71,18 +94,18 @@ def _placed(df: DataFrame, row: Column, id_col: str, text_col: str, limit_bytes:
     sized = materialize(
         df.select(
             F.col(id_col).alias("doc_id"),
-            hash_bits(F.col(id_col)).alias("bits"),
+            hash_bits(F.col(id_col), F.col(text_col)).alias("bits"),
             F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"),
             F.xxhash64(text_col).alias("hash"),
             row.alias("row"),
         )
     )
     buckets = materialize(directory(sized, limit_bytes))
-    depths = [r[0] for r in buckets.select("depth").distinct().collect()]  # at most 61 numbers
+    depths = [r[0] for r in buckets.select("depth").distinct().collect()]  # at most 121 numbers
     placed = None
     for d in sorted(depths):
         side = buckets.where(F.col("depth") == d).select("prefix", "depth", F.col("bytes").alias("shard_bytes"))
-        part = sized.withColumn("prefix", F.substring("bits", 1, d)).join(side, "prefix")
+        part = sized.withColumn("prefix", _prefix(d)).join(side, "prefix")
         placed = part if placed is None else placed.unionByName(part)
     if placed is None:
         placed = sized.withColumns({"prefix": F.lit(""), "depth": F.lit(0), "shard_bytes": F.lit(0).cast("long")})
@@ -98,8 +121,8 @@ def shard_documents(df: DataFrame, *, id_col="doc_id", text_col="text", limit_by
     """One row a document: doc_id, n_bytes, shard (its bucket's prefix bits), depth, page, shard_bytes.
 
     n_bytes is the text's UTF-8 length (null: 0). page is 0 but in buckets that cannot split any further
-    (repeated keys), where pages hold at most limit_bytes each, or one longer document. Null keys share
-    one hash. An empty table gives no rows; other columns are not read."""
+    (copies of one key and text), where pages hold at most limit_bytes each, or one longer document. A null key
+    goes by its text. An empty table gives no rows; other columns are not read."""
     return _placed(df, F.monotonically_increasing_id(), id_col, text_col, limit_bytes).drop("row")
 
 

@@ -1,15 +1,17 @@
 """Mixing sources to target weights by Pareto order sampling; DataFrame functions only.
 
 Each source gets a target number of words. Every document is first given as many certain whole copies
-as its source's target holds whole source sizes; the rest is a sample of fixed size (in words) drawn by
-Pareto order sampling: document i has the ranking variable (u / (1 - u)) / odds with u a hash of its
-key and text in (0, 1) and odds = (size / mean size) ** tempering, its inclusion odds up to a factor of
-the source that does not change the order. Documents are taken in that order until the source's words
-come nearest its target.
+as its source's target holds whole source sizes. The rest is an unequal-probability sample: document i is
+to be included with p = min(1, scale * (size / mean size) ** tempering), where scale makes the expected words of the
+sample the words still needed (found exactly from the counts of each size; documents with p = 1 are certain
+copies too). Pareto order sampling ranks documents by random odds divided by inclusion odds,
+(u / (1 - u)) / (p / (1 - p)) with u in (0, 1) a hash of key and text, and takes them in that order until
+the source's words come nearest its target, which fixes the sample's size in words.
 
 The cut in that order is found without sorting a source: words are summed over 1024 ranges of the
 ranking variable, then over 1024 ranges within the one the cut falls in, and only documents within the
-last range, about a millionth of the source, are ordered."""
+last range, about a millionth of the source, are ordered. Sources are numbered by ranges of their names and
+their targets found by rounds of sums, so no task holds all sources either."""
 
 from __future__ import annotations
 
@@ -29,34 +31,43 @@ def _rank(key: Column, text: Column, seed: int) -> Column:
     return (F.shiftrightunsigned(h, 12).cast("double") + 0.5) / F.lit(float(2**52))
 
 
+def _numbered(sizes: DataFrame) -> DataFrame:
+    """sizes with i, each source's place (from 0) in the order of names, null last."""
+    parts = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sizes.repartitionByRange(parts, F.col("src").isNull(), F.col("src")).withColumn("part", F.spark_partition_id())
+    dealt = materialize(dealt)  # a part's number must not change between its two uses
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row a part
+    counts = counts.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(F.col("src").asc_nulls_last())) - 1
+    return dealt.withColumn("nth", nth).join(F.broadcast(counts), "part").withColumn("i", F.col("ahead") + F.col("nth")).drop("part", "ahead", "nth")
+
+
 def source_targets(
     sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0
 ) -> DataFrame:
     """Targets by source. sizes: src, source_size, n_docs; one row a source (null is a source, last).
 
     share times all words are divided by weight; a target stops at cap times its source's size and the
-    excess goes to the others by weight until none is above. That fixed point is computed directly:
-    with the sources ordered by cap * size / weight, those that stop are a prefix."""
+    excess goes to the others by weight until none is above. Each round is one sum over the sources: those whose
+    cap lies under the level of the ones still free stop for good, which raises the level; a round without a new
+    one ends it."""
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.col("i"), F.lit(len(weights))) + 1).cast("int"))
-    order = Window.orderBy(F.col("src").asc_nulls_last())
-    ranked = sizes.withColumn("i", F.row_number().over(order) - 1).withColumn("w", w)
-    ranked = ranked.withColumn("most", F.lit(float(cap)) * F.col("source_size"))
-    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = Window.orderBy(F.col("most") / F.col("w"), "i").rowsBetween(Window.unboundedPreceding, -1)
-    stepped = (
-        ranked.withColumn("budget", F.lit(float(share)) * F.sum("source_size").over(everything))
-        .withColumn("all_w", F.sum("w").over(everything))
-        .withColumn("c", F.coalesce(F.sum("most").over(before), F.lit(0.0)))
-        .withColumn("v", F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-        .withColumn("stops", F.col("most") * (F.col("all_w") - F.col("v")) < F.col("w") * (F.col("budget") - F.col("c")))
-    )
-    level = (
-        stepped.withColumn("free_w", F.sum(F.when(~F.col("stops"), F.col("w"))).over(everything))
-        .withColumn("stopped", F.coalesce(F.sum(F.when(F.col("stops"), F.col("most"))).over(everything), F.lit(0.0)))
-        .withColumn("level", F.col("w") * (F.col("budget") - F.col("stopped")) / F.col("free_w"))
-    )
-    target = F.when(F.col("stops") | F.col("free_w").isNull(), F.col("most")).otherwise(F.least("most", "level"))
-    return level.select("src", "source_size", "n_docs", target.alias("target"))
+    ranked = materialize(_numbered(sizes).withColumn("w", w).withColumn("most", F.lit(float(cap)) * F.col("source_size")))
+    level = 0.0
+    budget = None
+    while True:
+        stops = F.col("most") < F.col("w") * F.lit(level)
+        words, stopped, free = ranked.agg(F.sum("source_size"), F.sum(F.when(stops, F.col("most"))), F.sum(F.when(~stops, F.col("w")))).first()
+        budget = float(share) * (words or 0) if budget is None else budget
+        if not free:
+            break
+        higher = (budget - (stopped or 0.0)) / free
+        if higher <= level:
+            break
+        level = higher
+    target = F.least(F.col("most"), F.col("w") * F.lit(level))
+    return ranked.select("src", "source_size", "n_docs", target.alias("target"))
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
@@ -68,11 +79,32 @@ def _keyed(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int
     )
 
 
+def _relative(tempering: float) -> Column:
+    return F.pow(F.col("size") / F.col("mean_size"), F.lit(float(tempering)))
+
+
 def _ranking(tempering: float) -> Column:
-    """The Pareto variable mapped to [0, 1), which keeps its order."""
-    odds = F.pow(F.col("size") / F.col("mean_size"), F.lit(float(tempering)))
-    q = F.col("u") / (1 - F.col("u")) / odds
-    return q / (1 + q)
+    """The Pareto variable (random odds over inclusion odds) q as q / (1 + q), which keeps its order; certain copies have 0."""
+    p = F.least(F.lit(1.0), F.col("scale") * _relative(tempering))
+    return F.col("u") * (1 - p) / (F.col("u") * (1 - p) + p * (1 - F.col("u")))
+
+
+def _scales(keyed: DataFrame, plan: DataFrame, n_sources: int, tempering: float) -> DataFrame:
+    """Per source the scale at which the expected words of the sample are the words needed, and the words needed
+    beside the documents that are certain.
+
+    With sizes from the largest down, those that are certain are a prefix: after each the scale of the others follows
+    from sums of counts by size, and the first that makes none of them certain is right."""
+    counts = keyed.where("size > 0").groupBy("src", "size").agg(F.count(F.lit(1)).alias("n"))
+    rows = _with_plan(counts, plan, n_sources).where("rest > 0")
+    rows = rows.withColumn("w", _relative(tempering)).withColumn("words", F.col("n") * F.col("size"))
+    larger = Window.partitionBy("src").orderBy(F.desc("w"), F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    onward = Window.partitionBy("src").orderBy(F.desc("w"), F.desc("size")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    left = F.col("rest") - F.coalesce(F.sum("words").over(larger), F.lit(0))
+    scaled = rows.withColumn("scale", left / F.sum(F.col("w") * F.col("words")).over(onward))
+    scales = scaled.where("scale * w <= 1").groupBy("src").agg(F.max_by("scale", F.struct("w", "size")).alias("scale"))
+    fixed = _with_plan(rows, materialize(scales), n_sources)
+    return fixed.groupBy("src").agg(F.max("scale").alias("scale"), (F.max("rest") - F.sum(F.when(F.col("scale") * F.col("w") >= 1, F.col("words")).otherwise(0))).alias("need"))
 
 
 def _with_plan(rows: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
@@ -96,18 +128,19 @@ def mixing_plan(keyed: DataFrame, weights=(5, 2, 1), share=1.5, cap=2.0, temperi
         .withColumn("mean_size", F.col("source_size") / F.col("n_docs"))
     )
     plan = materialize(plan)
-    ranked = _with_plan(keyed.where("size > 0"), plan, n_sources).where("rest > 0").withColumn("v", _ranking(tempering))
+    plan = materialize(_with_plan(plan, _scales(keyed, plan, n_sources, tempering), n_sources).withColumn("scale", F.coalesce("scale", F.lit(1.0))))
+    ranked = _with_plan(keyed.where("size > 0"), plan, n_sources).where("rest > 0").withColumn("v", _ranking(tempering)).where("v > 0")
 
     def crossing(part: DataFrame, by: str, need: str, name: str) -> DataFrame:
         """For each source the range its cut falls in, and what is still needed within it."""
-        sums = part.groupBy("src", by).agg(F.sum("size").alias("s"), F.first(need).alias("need"))
+        sums = part.groupBy("src", by).agg(F.sum("size").alias("s"), F.max(need).alias("need"))
         upto = Window.partitionBy("src").orderBy(by)
         cum = sums.withColumn("cum", F.sum("s").over(upto)).where(F.col("cum") >= F.col("need"))
         hit = cum.groupBy("src").agg(F.min_by(F.struct(F.col(by), (F.col("need") - F.col("cum") + F.col("s")).alias("left")), by).alias("x"))
         return hit.select("src", F.col(f"x.{by}").alias(name), F.col("x.left").alias(f"{name}_need"))
 
     first = ranked.withColumn("b1", _range(F.col("v")))
-    level1 = materialize(crossing(first, "b1", "rest", "cut1"))
+    level1 = materialize(crossing(first, "b1", "need", "cut1"))
     second = _with_plan(first, level1, n_sources).where("b1 = cut1").withColumn("b2", _range(F.col("v") * RANGES - F.col("b1")))
     level2 = materialize(crossing(second, "b2", "cut1_need", "cut2"))
     leaf = _with_plan(second, level2, n_sources).where("b2 = cut2")
@@ -127,7 +160,7 @@ def _decide(rows: DataFrame, tempering: float) -> DataFrame:
     sampled = (
         (F.col("size") > 0)
         & (F.col("rest") > 0)
-        & F.when(F.col("cut1").isNull(), F.lit(True))
+        & F.when((F.col("v") <= 0) | F.col("cut1").isNull(), F.lit(True))
         .when(b1 != F.col("cut1"), b1 < F.col("cut1"))
         .when(F.col("cut2").isNull(), F.lit(True))
         .when(b2 != F.col("cut2"), b2 < F.col("cut2"))

@@ -33,18 +33,22 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Words that announce an entity, by kind, in the training languages.
 CUES = {
+    "secret": {"token", "password", "passwd", "pwd", "secret", "key", "apikey", "api_key", "api-key", "bearer", "credential"},
     "email": {"email", "mail", "e-mail", "contact", "correo", "courriel"},
     "ip": {"ip", "host", "address", "server"},
     "card": {"card", "visa", "mastercard", "karte", "carte", "tarjeta"},
     "phone": {"phone", "tel", "call", "mobile", "fax", "telefon", "telefono"},
 }
 
-TYPES = ("none", *KINDS)
+#: What the field finds beside the base kinds: values of passwords, keys and tokens.
+TYPES = ("none", *KINDS, "secret")
 #: Characters of a segment; a zone reaches as far from its anchors where no white space bounds it.
 MAX_CHARS = 80
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|_|\s+|\w")
 DIGIT = re.compile(r"[0-9]")
-ANCHOR = re.compile(r"[0-9@]|\((?:at|AT)\)|\[(?:at|AT)\]")
+ANCHOR = re.compile(r"[0-9@]|\((?:at|AT)\)|\[(?:at|AT)\]|(?<=[dnty])[ \"']{0,2}[:=](?=[ \"']{0,2}[\w])", re.IGNORECASE)
+#: A value that could be a secret: a run without white space or quotes.
+VALUE = re.compile(r"[A-Za-z0-9_+/.~!$%^&*-]{8,}")
 
 
 def luhn(digits: str) -> bool:
@@ -95,6 +99,8 @@ def _features(kind: str, span: str, before: str, after: str) -> list[str]:
     """Names of the features of a whole candidate span of a kind."""
     if kind == "none":
         return ["none"]
+    if kind == "secret":
+        return _secret_features(span, before, after)
     d = _digits(span)
     shape = "".join(dict.fromkeys("d" if "0" <= c <= "9" else "a" if c.isalpha() else "s" if c.isspace() else c for c in span))
     words = re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)?", before.lower())
@@ -119,6 +125,21 @@ def _features(kind: str, span: str, before: str, after: str) -> list[str]:
     return names
 
 
+def _secret_features(span: str, before: str, after: str) -> list[str]:
+    words = re.findall(r"[a-z]+(?:[_-][a-z]+)*", before.lower())
+    lead = before.rstrip(" \"'")[-1:]
+    kinds = sum(any(test(c) for c in span) for test in (str.isdigit, str.islower, str.isupper))
+    hexadecimal = bool(re.fullmatch(r"[0-9a-fA-F]+", span))
+    return [
+        "secret:bias",
+        f"secret:cue={bool(words and (words[-1] in CUES['secret'] or any(w in CUES['secret'] for w in re.split('[_-]', words[-1]))))}",
+        f"secret:assigned={lead in ('=', ':')}",
+        f"secret:quoted={before[-1:] in ('\"', chr(39)) and after[:1] == before[-1:]}",
+        f"secret:size={min(len(span) // 8, 5)}",
+        f"secret:kinds={kinds}{any('0' <= c <= '9' for c in span)}{hexadecimal}",
+    ]
+
+
 def _candidates(tokens: list[tuple[str, int, int]], text: str) -> list[tuple[int, int, str]]:
     """Segments (first token, end token, type): single tokens as none, spans that could be an entity."""
     out = []
@@ -126,6 +147,11 @@ def _candidates(tokens: list[tuple[str, int, int]], text: str) -> list[tuple[int
         out.append((i, i + 1, "none"))
         if t.isspace():
             continue
+        if (i == 0 or not VALUE.fullmatch(tokens[i - 1][0] * 8)) and (m := VALUE.match(text, a)) and m.end() - a <= MAX_CHARS:
+            stop = m.end() - (text[m.end() - 1] in ".!")  # the end of a sentence
+            j = next((j for j in range(i, len(tokens)) if tokens[j][2] >= stop), None)
+            if j is not None and tokens[j][2] == stop and stop - a >= 8:
+                out.append((i, j + 1, "secret"))
         has_digit = has_at = False
         for j in range(i, len(tokens)):
             t2, _, b = tokens[j]
@@ -217,21 +243,33 @@ def _sentence(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
             return ".".join(str(rng.randint(0, 255)) for _ in range(4))
         if kind == "card":
             return card(True)
+        if kind == "secret":
+            pool = rng.choice(("0123456789abcdef", "0123456789ABCDEF", "abcdefghijkmnopqrstuvwxyz0123456789ABCDEFGHJKLMNPQRSTUVWXYZ", "abcdefghkmnp23456789!$%_-"))
+            return rng.choice("abcdefABCDEF"[: 6 if pool[-1] != "F" else 12]) + "".join(rng.choice(pool) for _ in range(rng.choice((9, 15, 19, 31, 39, 63))))
         return rng.choice((f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(3)}", f"00{d(2)} {d(3)} {d(6)}", f"({d(3)}) {d(3)}-{d(4)}"))
 
     other = (
         lambda: d(rng.randint(1, 6)), lambda: f"{d(4)}-{d(2)}-{d(2)}", lambda: f"{d(1)}.{d(1)}.{d(1)}", lambda: f"{d(2)}.{d(2)}%",
         lambda: card(False), lambda: d(20), lambda: f"@{word()}", lambda: f"{word()} @ {word()}", lambda: f"{d(4)}.{d(3)}.{d(4)}.{d(3)}",
-        lambda: f"password={''.join(rng.choice('0123456789abcdef') for _ in range(18))}", lambda: f"version {d(1)}.0", lambda: f"{d(2)}:{d(2)}:{d(2)}",
+        lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((12, 32, 40)))), lambda: f"{word()} = {d(8)}", lambda: f"{word()}: {word()}{word()}{word()}", lambda: f"version {d(1)}.0", lambda: f"{d(2)}:{d(2)}:{d(2)}",
         lambda: f"{d(3)},{d(3)}", lambda: f"{d(4)}-{d(4)}", lambda: f"{word()} {d(10)}", lambda: f"{d(5)} {d(5)} {d(3)}",
     )
     parts, spans, n = [], [], 0
     for _ in range(rng.randint(2, 5)):
-        chosen = rng.choice(("word", "word", "other", "other", *KINDS))
+        chosen = rng.choice(("word", "word", "other", "other", *TYPES[1:]))
         if chosen == "word":
             x = word()
         elif chosen == "other":
             x = rng.choice(other)()
+        elif chosen == "secret":
+            name = rng.choice(sorted(CUES["secret"]))
+            name = rng.choice((name, name, name.upper(), f"{word()}_{name}"))
+            quote = rng.choice(("", "", '"', "'"))
+            lead, x = name + rng.choice(("=", " = ", ": ", ":")) + quote, entity("secret")
+            parts.append(lead)
+            n += len(lead)
+            spans.append((n, n + len(x), "secret"))
+            x += quote
         else:
             x = entity(chosen)
             # A bare local number is personal only where a cue announces it.
@@ -330,7 +368,7 @@ def find_spans(text: str, w: dict[str, float]) -> tuple[list, list]:
         return base, base
     held = sorted((a, b) for _, a, b in base)
     more = [s for s in field_spans(text, w) if not any(a < s[2] and s[1] < b for a, b in held)]
-    every = sorted(dict.fromkeys(base + more), key=lambda s: (KINDS.index(s[0]), s[1]))
+    every = sorted(dict.fromkeys(base + more), key=lambda s: (TYPES.index(s[0]), s[1]))
     return base, every
 
 
@@ -351,26 +389,28 @@ def _written(spans: list[tuple[str, int, int]]) -> str:
 def _scan(w: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, digests, spans = [], [], []
+            counts, digests, spans, found = [], [], [], []
             for t in batch.column(1):
                 base, every = find_spans(t.as_py() or "", w)
                 counts.append([sum(k == kind for k, _, _ in base) for kind in KINDS])
                 digests.append(hashlib.sha256(_written(base).encode()).hexdigest())
                 spans.append(_written(every))
+                found.append((sum(k == "secret" for k, _, _ in every), len(every)))
             columns = {"doc_id": batch.column(0)}
             columns |= {f"n_{k}": pa.array([c[i] for c in counts], pa.int64()) for i, k in enumerate(KINDS)}
-            yield pa.record_batch(columns | {"base_sha256": pa.array(digests, pa.string()), "spans": pa.array(spans, pa.string())})
+            columns |= {"base_sha256": pa.array(digests, pa.string()), "spans": pa.array(spans, pa.string())}
+            yield pa.record_batch(columns | {n: pa.array([f[i] for f in found], pa.int64()) for i, n in enumerate(("n_secret", "n_spans"))})
 
     return run
 
 
 def pii_spans(df: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """One row a document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+    """One row a document: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_secret and n_spans (all).
 
     A null or empty text has no spans. Keys may be null or repeat: each row is scanned by itself. Spans
     of one kind never repeat; ties in score keep the shorter reading of what comes first. An empty table
     gives no rows; other columns are not read."""
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_spans long"
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scan(weights()), schema)
 
 

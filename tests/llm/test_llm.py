@@ -77,15 +77,80 @@ def test_rules_find_a_planted_threshold(spark):
     assert rules and rules[0].tests == (quality_rules.Test("symbol_rate", 30, True),)
 
 
-def test_suffix_dedup(docs, rows, empty):
-    keyed = sorted(((math.inf if i is None else i), t or "") for i, t, _, _ in rows)
+def covering_by_hand(rows, max_rules=8, max_tests=4, min_precision=0.95, min_support=5, max_discards=6):
+    """Sequential covering over rows (grid values, fold, bad), one candidate threshold after the other."""
+    names = [n for n, _ in quality_rules.GRIDS]
+    fires = lambda tests, g: all((g[k] > b) == above for k, b, above in tests)
+    rules, left, discarded = [], rows, set()
+    while len(rules) < max_rules and len(discarded) < max_discards:
+        tests, part = [], [x for x in left if x[1]]
+        while len(tests) < max_tests:
+            part = [x for x in part if fires(tests, x[0])]
+            p0 = sum(x[2] for x in part)
+            if p0 in (0, len(part)):
+                break
+            best, found = 0.0, None
+            for k in range(len(names)):
+                for b in range(quality_rules.BINS - 1):
+                    for above in (False, True):
+                        under = [x[2] for x in part if (x[0][k] > b) == above]
+                        a = sum(under)
+                        gain = a * (math.log2(a / len(under)) - math.log2(p0 / len(part))) if a else 0.0
+                        if gain > best + 1e-9 and (tests or (k, b, above) not in discarded):
+                            best, found = gain, (k, b, above)
+            if found is None:
+                break
+            tests.append(found)
+        if not tests:
+            break
+        scores = []
+        for n in range(1, len(tests) + 1):
+            under = [x[2] for x in left if not x[1] and fires(tests[:n], x[0])]
+            scores.append(((2 * sum(under) - len(under)) / max(1, len(under)), -n, sum(under), len(under)))
+        _, n, p, size = max(scores)
+        if p < min_support or p / size < min_precision:
+            discarded.add(tests[0])
+            continue
+        rules.append(tuple(tests[:-n]))
+        left = [x for x in left if not fires(rules[-1], x[0])]
+    return [tuple((names[k], b, above) for k, b, above in r) for r in rules]
+
+
+def test_list_is_that_of_plain_covering(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(1500):
+        g = [rng.randrange(41) for _ in quality_rules.GRIDS]
+        bad = g[1] > 34 or (g[4] <= 5 and g[6] > 30) or rng.random() < 0.04
+        rows.append((g, i % 3, bad))
+    names = [f"g_{n}" for n, _ in quality_rules.GRIDS]
+    df = spark.createDataFrame([(*g, f, b) for g, f, b in rows], ", ".join(f"{n} int" for n in names) + ", fold int, bad boolean").cache()
+    got = [tuple((t.feature, t.bound, t.above) for t in r.tests) for r in quality_rules.learn_rules(df)]
+    assert got == covering_by_hand(rows) and len(got) >= 2
+    out = df.withColumn("rule", quality_rules.verdict(quality_rules.learn_rules(df))).select(*names, "rule").collect()
+    for r in out:
+        hit = [k for k, rule in enumerate(got) if all((r[f"g_{n}"] > b) == above for n, b, above in rule)]
+        assert r.rule == (hit[0] if hit else None)
+
+
+def test_rules_travel_with_the_result(spark, docs):
+    bad = [(i, 0, 0) for i in (500, 600, 601, 602, 300, 301, 302, 303)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)] + bad, "doc_id long, quality int, toxic int")
+    out = quality_rules.quality_rules(docs, labels, min_support=1, min_precision=0.5)
+    assert all((x.rule is None) == (x.reason is None) for x in out.collect())
+    assert all(r.sql() for r in out.rules)
+    assert quality_rules.quality_rules(docs, labels.limit(0)).rules == []
+
+
+def suffix_dedup_by_hand(rows):
+    keyed = sorted(((math.inf if i is None else i), t or "") for i, t, *_ in rows)
     first = {}
     for i, t in keyed:
         b = t.encode()
         for k in range(len(b) - 49):
             first.setdefault(b[k : k + 50], i)
     want = Counter()
-    for i, t, _, _ in rows:
+    for i, t, *_ in rows:
         b = (t or "").encode()
         gone = bytearray(len(b))
         for k in range(len(b) - 49):
@@ -93,11 +158,26 @@ def test_suffix_dedup(docs, rows, empty):
                 gone[k : k + 50] = b"\1" * 50
         spans = len([x for x in bytes(gone).split(b"\0") if x])
         want[i, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()] += 1
+    return want
+
+
+def test_suffix_dedup(docs, rows, empty):
     got = Counter(tuple(r)[:5] for r in suffix_dedup.suffix_dedup(docs).collect())
-    assert got == want
+    assert got == suffix_dedup_by_hand(rows)
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+def test_suffix_dedup_of_one_passage_in_many_contexts(spark):
+    rng = random.Random(22)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = noise(60)
+    rows = [(i, noise(rng.randint(0, 60)) + passage[rng.randint(0, 8) : rng.randint(52, 60)] + noise(rng.randint(0, 60))) for i in range(150)]
+    rows += [(150 + i, "z" * rng.randint(40, 130)) for i in range(20)] + [(170 + i, ("ab" * 80)[: rng.randint(45, 150)]) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r)[:5] for r in suffix_dedup.suffix_dedup(df).collect())
+    assert got == suffix_dedup_by_hand(rows)
+
+
 def test_merge_of_transforms_sorts_like_one_text():
     rng = random.Random(3)
     shards = [[(bytes(rng.choice(b"ab") for _ in range(rng.randint(8, 30))), d) for d in range(k, k + 3)] for k in (0, 3, 6)]
@@ -123,19 +203,82 @@ def test_merge_gives_exact_common_prefixes(length):
     assert lcp.tolist() == [-1, *common]
 
 
-def test_perplexity(spark, docs, empty):
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
-    out = {(r.doc_id, r.n_grams): r for r in perplexity.quality_by_perplexity(docs, labels).collect()}
-    assert sum(1 for k in out) >= 40
-    assert out[400, 0].kept and out[400, 0].perplexity is None
-    assert all(r.kept for k, r in out.items() if k[0] is not None and k[0] < 20)
+def kneser_ney_by_hand(texts, asked, order=6):
+    """Interpolated modified Kneser-Ney over bytes, plainly: log-probability of each n-gram asked."""
+    grams = lambda t: [(b"\n" * (order - 1) + t)[i : i + order] for i in range(len(t))]
+    counts = Counter(g for t in texts for g in grams(t))
+    levels = []
+    for n in range(order, 0, -1):
+        k = Counter(min(c, 4) for c in counts.values())
+        y = k[1] / (k[1] + 2 * k[2]) if k[1] + 2 * k[2] else 0.5
+        d = [0.0]
+        for i, usual in ((1, 0.5), (2, 0.75), (3, 1.2)):
+            x = i - (i + 1) * y * k[i + 1] / k[i] if k[i] else usual
+            d.append(min(max(x, 0.1 * i), 0.9 * i))
+        total, held = Counter(), Counter()
+        for g, c in counts.items():
+            total[g[:-1]] += c
+            held[g[:-1]] += d[min(c, 3)]
+        levels.append((n, dict(counts), d, total, held))
+        counts = Counter(g[1:] for g in counts)
+    out = {}
+    for g in asked:
+        p = 1 / 256
+        for n, c, d, total, held in reversed(levels):
+            x = g[order - n :]
+            if x[:-1] in total:
+                seen = c.get(x, 0)
+                p = (max(0, seen - d[min(seen, 3)] if seen else 0) + held[x[:-1]] * p) / total[x[:-1]]
+        out[g] = math.log(p)
+    return out
+
+
+def test_perplexity_is_that_of_plain_kneser_ney(spark, docs, rows, empty):
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)] + [(600, 1, 0), (None, 1, 0), (21, 1, 1), (22, 0, 0)], "doc_id long, quality int, toxic int")
+    out = perplexity.quality_by_perplexity(docs, labels).collect()
+    assert len(out) == len(rows)
+    held = {r.doc_id for r in spark.range(700).select(F.col("id").alias("doc_id")).where(F.pmod(F.xxhash64("doc_id"), F.lit(perplexity.HELD_OUT)) == 0).collect()}
+    good = {*range(20), 600}
+    want, by_lang = {}, defaultdict(list)
+    for lang in {r[2] for r in rows}:
+        train = [t.encode() for i, t, x, _ in rows if x == lang and i in good - held]
+        own = [(i, (t or "").encode()) for i, t, x, _ in rows if x == lang]
+        lead = b"\n" * 5
+        logp = kneser_ney_by_hand(train, {(lead + t)[k : k + 6] for _, t in own for k in range(len(t))})
+        for i, t in own:
+            p = math.exp(-sum(logp[(lead + t)[k : k + 6]] for k in range(len(t))) / len(t)) if t else None
+            want[i, t] = p
+            if i in good and p is not None:
+                by_lang[lang].append((i in held, p))
+    texts = defaultdict(list)
+    for i, t, _, _ in rows:
+        texts[i].append((t or "").encode())
+    for r in out:
+        close = [want[r.doc_id, t] for t in texts[r.doc_id] if len(t) == r.n_grams]
+        assert any(p == r.perplexity is None or p is not None and r.perplexity is not None and abs(p - r.perplexity) < 1e-3 * p for p in close)
+        known = by_lang[r.lang]
+        if not known:
+            assert r.threshold is None and r.kept
+        else:
+            cut = max([p for h, p in known if h] or [p for _, p in known]) * 1.25
+            assert abs(r.threshold - cut) < 1e-3 * cut and r.kept == (r.perplexity is None or r.perplexity <= r.threshold)
     assert perplexity.quality_by_perplexity(empty, labels).count() == 0
+    assert all(r.kept for r in perplexity.quality_by_perplexity(docs, labels.limit(0)).collect())
+
+
+def test_languages_null_and_empty_are_two(spark):
+    rows = [(i, "abcabcabc " * 9, None) for i in range(10)] + [(i, "xyzxyzxyz " * 9, "") for i in range(10, 20)] + [(20, "abcabcabc", None), (21, "abcabcabc", "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in perplexity.quality_by_perplexity(df, labels).collect()}
+    assert out[20].perplexity < 5 < out[21].perplexity and out[20].lang is None and out[21].lang == ""
 
 
 def test_kneser_ney_sums_to_one(spark):
     rng = random.Random(4)
-    counts = spark.createDataFrame([("en", (1 << 18) + (2 << 12) + (3 << 6) + s, rng.randint(1, 6)) for s in range(20)] + [("en", s * 64 + 5, 1) for s in range(9)], "lang string, g int, c long")
-    asked = spark.createDataFrame([("en", (1 << 18) + (2 << 12) + (3 << 6) + s) for s in range(64)], "lang string, g int")
+    stem = sum(b << 8 * k for k, b in enumerate((3, 2, 1, 9, 9), 1))
+    counts = spark.createDataFrame([("en", stem + s, rng.randint(1, 6)) for s in range(20)] + [("en", s * 256 + 5, 1) for s in range(9)], "lang string, g long, c long")
+    asked = spark.createDataFrame([("en", stem + s) for s in range(256)], "lang string, g long")
     total = sum(math.exp(r.logp) for r in perplexity.log_probabilities(asked, counts).collect())
     assert abs(total - 1) < 1e-4
 
@@ -169,6 +312,38 @@ def test_sampled_paths_follow_the_lattice():
     assert set(got) <= set(want) and all(abs(got[k] / 50_000 - p / total) < 0.01 for k, p in want.items())
 
 
+def test_whole_lattice_across_words_and_passes(monkeypatch):
+    e = pieces.Encoder(sharpness=0.2)
+    longer = [s for s in e.v.pieces if "  " in s or "__" in s or len(s) > 2 and "_" in s]
+    assert longer  # pieces that a cut at words would lose
+    for s in longer[:200]:
+        assert not len(e.v.cuts(s))
+    text = "x  " + longer[0] + " y"
+    ids, bounds = e.encode(list(range(60_000)), [text] * 60_000)
+    # Chances of all paths over the whole text, by plain forward sums; the share that uses the long piece.
+    x = " " + text
+    def paths(skip):
+        out = [1.0] + [0.0] * len(x)
+        for j in range(1, len(x) + 1):
+            for i in range(max(0, j - e.v.longest), j):
+                hit = e.v.pieces.get(x[i:j])
+                if hit and x[i:j] != skip:
+                    out[j] += out[i] * hit[1]
+        return out[-1]
+    want = 1 - paths(longer[0]) / paths(None)
+    piece = e.v.pieces[longer[0]][0]
+    rows = np.repeat(np.arange(60_000), np.diff(bounds))
+    got = len(np.unique(rows[ids == piece])) / 60_000
+    assert want > 0.005 and abs(got - want) < 0.01
+    rng = random.Random(24)
+    texts = ["".join(rng.choice(["the ", "  ", "x__y", "é漢", "𝒳", "\n\t", "12 ", "aaaa" * 30]) for _ in range(rng.randint(0, 200))) for _ in range(60)]
+    whole = e.encode(list(range(60)), texts)
+    monkeypatch.setattr(pieces, "PASS_CHARS", 300)
+    parts = e.encode(list(range(60)), texts)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+    assert [pieces.decode_ids(whole[0][a:b]) for a, b in zip(whole[1], whole[1][1:])] == texts
+
+
 def slow_fingerprint(text):
     w = (text or "").encode().lower().split()
     if not w:
@@ -313,14 +488,57 @@ def test_neighbours(spark):
     assert neighbours.nearest(few, few).count() == 6
 
 
-def test_pigeonhole_finds_every_code():
+@pytest.mark.parametrize("bits", [4, 2, 0])
+def test_pigeonhole_finds_every_code_once(bits):
     rng = np.random.default_rng(7)
-    codes = rng.integers(0, 65536, (500, 8)).astype(np.uint16)
-    index = neighbours.Index(codes)
-    for i in range(20):
+    model = neighbours.Model(np.zeros(64), np.eye(64), 0)
+    codes = rng.integers(0, 65536, (500, 4)).astype(np.uint16)
+    heads = codes.astype(int) >> (16 - bits)
+    tables = [(t, p, np.flatnonzero(heads[:, t] == p)) for t in range(4) for p in range(1 << bits)]
+    index = [(rows, neighbours.Index(codes[rows], t, p, bits)) for t, p, rows in tables if len(rows)]
+    for i in range(12):
         d = np.bitwise_count(codes ^ codes[i]).sum(axis=1)
-        for radius in (0, 20, 50, 60):
-            assert index.within(codes[i], radius).tolist() == np.flatnonzero(d <= radius).tolist()
+        for radius in (0, 1, 7, 20, 26, 33, 64):
+            found = np.concatenate([rows[x.within(codes[i], radius, model.reach(radius))] for rows, x in index])
+            assert sorted(found.tolist()) == np.flatnonzero(d <= radius).tolist()
+
+
+def test_recall_on_five_thousand_vectors(spark):
+    rng = np.random.default_rng(23)
+    centres = rng.standard_normal((40, 48))
+    x = rng.standard_normal((5000, 48))
+    x[:2500] = centres[rng.integers(0, 40, 2500)] + 0.3 * x[:2500]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(dict)
+    for r in neighbours.nearest(df, df.where("vec_id % 50 = 0")).collect():
+        got[r.query_id][r.vec_id] = (r.rank, r.score)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = 0
+    for q in range(0, 5000, 50):
+        c = unit @ unit[q]
+        c[q] = -2
+        best = np.argsort(-c)[:5]
+        hit += len(set(best.tolist()) & set(got[q]))
+        assert len(got[q]) == 5 and all(abs(s - c[v]) < 1e-12 for v, (_, s) in got[q].items())
+        assert [s for _, s in sorted(got[q].values())] == sorted((s for _, s in got[q].values()), reverse=True)
+    assert hit >= 0.9 * 500
+
+
+def test_wide_vectors_are_projected(spark):
+    rng = np.random.default_rng(25)
+    basis = rng.standard_normal((12, 200))
+    x = rng.standard_normal((600, 12)) @ basis
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    got = defaultdict(set)
+    for r in neighbours.nearest(df, df.where("vec_id % 50 = 0")).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = 0
+    for q in range(0, 600, 50):
+        c = unit @ unit[q]
+        c[q] = -2
+        hit += len(set(np.argsort(-c)[:5].tolist()) & got[q])
+    assert hit >= 0.9 * 60
 
 
 def test_licenses(spark, empty):
@@ -354,8 +572,75 @@ def test_automaton_matching_statistics():
                     break
         assert [(s, n) for s, n, _ in a.matches(text, 3)] == want
         for s, n, state in a.matches(text, 3):
-            for t, end in a.ends[state].items():
-                assert templates[t][end - n : end] == text[s : s + n]
+            places = {t: {k + n for k in range(26 - n) if templates[t][k : k + n] == text[s : s + n]} for t in range(3)}
+            assert a.ends[state] == {t: p for t, p in places.items() if p}
+
+
+def chain_by_hand(template, words, least, gap):
+    """The most words of a template that a chain of maximal matches covers, over all chains."""
+    same = lambda i, k: 0 <= i < len(words) and 0 <= k < len(template) and words[i] == template[k]
+    found = []
+    for i in range(len(words)):
+        for k in range(len(template)):
+            n = 0
+            while same(i + n, k + n):
+                n += 1
+            if n >= least and not same(i - 1, k - 1):
+                found.append((i, k, n))
+    best = 0
+
+    def grow(chain, covered):
+        nonlocal best
+        best = max(best, covered)
+        i0, k0, n0 = chain[-1] if chain else (None, None, None)
+        for i, k, n in found:
+            if chain:
+                if i <= i0 or i - (i0 + n0) > gap:
+                    continue
+                lost = max(0, k0 + n0 - k, i0 + n0 - i)
+                if lost >= n or k < k0 + n0 - lost or k + n <= k0 + n0:
+                    continue
+                grow([*chain, (i, k, n)], covered + n - lost)
+            else:
+                grow([(i, k, n)], n)
+
+    grow([], 0)
+    return best
+
+
+def test_chains_cover_what_the_best_chain_covers():
+    one = b"pa pb pc pd one two three four pa pb pc pd".split()
+    scanner = licenses.Scanner([("x", " ".join(w.decode() for w in one))])
+    assert scanner.covers(one)[0][0] == 12
+    rng = random.Random(26)
+    for _ in range(60):
+        template = [f"w{rng.randrange(12)}".encode() for _ in range(24)]
+        scanner = licenses.Scanner([("x", b" ".join(template).decode())])
+        text = []
+        for _ in range(rng.randint(1, 4)):
+            a = rng.randrange(20)
+            text += template[a : a + rng.randint(4, 12)] + [b"zz"] * rng.randrange(4)
+        covers = scanner.covers(text)
+        # Matches in more than one template place are maximal by file, so a plain chain can only do better by splitting them.
+        assert covers[0][0] <= chain_by_hand(template, text, licenses.LEAST_MATCH, licenses.MOST_GAP) <= len(template)
+
+
+def test_license_rows_by_plain_search(spark):
+    rng = random.Random(27)
+    pool = ["MIT License", "mit-license", "Apache License", "General\nPublic  License", "license", "mit", "public license", "the", "é", "x1", "GENERAL PUBLIC LICENSE,"]
+    rows = [(i, " ".join(rng.choice(pool) for _ in range(rng.randint(0, 30)))) for i in range(120)] + [(200, "word " * 200_000 + "MIT License")] + [(201, "mit license")] * 2
+    import re
+
+    want = Counter()
+    for i, t in rows:
+        low = re.sub(r"[A-Z]", lambda m: m.group().lower(), t)
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        places = [(k, label) for phrase, label in licenses.PHRASES for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
+        at = [k for k, _ in places]
+        want[i, len(w), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))] += 1
+    out = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in out) == want
+    assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in out)
 
 
 def test_mixing(docs, rows, empty):
@@ -390,6 +675,103 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_sample_is_that_of_a_plain_sort(spark):
+    rng = random.Random(28)
+    rows = [(i, " ".join(["w"] * rng.choice((0, 1, 2, 5, 30, 400))), rng.choice(("a", "b", "c", "d", None))) for i in range(900)]
+    rows += [(2000, "w " * 30_000, "a"), (2001, "w " * 9000, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix_sources(df).collect()
+    u = {r.doc_id: r.u for r in mixing._keyed(df, "doc_id", "text", "source", 8).collect()}
+    by = defaultdict(list)
+    for r in out:
+        by[r.src].append(r)
+    for src, docs in by.items():
+        whole, total = int(docs[0].target // docs[0].source_size), docs[0].source_size
+        rest = docs[0].target - whole * total
+        own = [r for r in docs if r.size]
+        mean = total / len(docs)
+        low, high = 0.0, 1e6
+        for _ in range(200):  # the scale at which the expected words of the sample are those needed
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(1, mid * (r.size / mean) ** 0.5) * r.size for r in own) < rest else (low, mid)
+        q = {}
+        for r in own:
+            p = min(1, high * (r.size / mean) ** 0.5)
+            q[r.doc_id] = 0.0 if p > 1 - 1e-9 else (u[r.doc_id] / (1 - u[r.doc_id])) / (p / (1 - p))
+        taken, words = set(), 0
+        for r in sorted(own, key=lambda r: q[r.doc_id]):
+            if q[r.doc_id] and (words >= rest or words + r.size - rest >= rest - words):
+                break
+            taken.add(r.doc_id)
+            words += r.size
+        if rest <= 0:
+            taken = set()
+        assert {r.doc_id: r.copies for r in docs} == {r.doc_id: (whole + (r.doc_id in taken) if r.size else 0) for r in docs}, src
+
+
+def plain_spans(text):
+    import re
+
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m.group().split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m.group() if c.isdigit()]
+        double = sum(x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(reversed(d)))
+        if 13 <= len(d) <= 19 and double % 10 == 0:
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= sum(c.isdigit() for c in m.group()) <= 15]
+    return out
+
+
+def test_base_spans_are_those_of_the_plain_patterns(spark):
+    rng = random.Random(29)
+    bits = ["a@b.c", "x.y@z-1.org", "@", ".", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1111", "+1 (415) 555-0132", "+49", "00", "é", " ", "-", "_", "%", "7", "12345678", "(", "a", "..", "+4 5", "\n"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    for t in texts:
+        assert pii.base_spans(t) == plain_spans(t), t
+    rows = [(i, t) for i, t in enumerate(texts[:60])] * 2 + [(None, texts[0]), (None, None)]
+    w = pii.weights()
+    want = Counter((i, *(sum(k == x for x, _, _ in plain_spans(t or "")) for k in pii.KINDS), pii._written(pii.find_spans(t or "", w)[1])) for i, t in rows)
+    out = pii.pii_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.spans) for r in out) == want
+    assert all(r.n_spans == len([x for x in r.spans.split(",") if x]) for r in out)
+
+
+def test_decoding_is_the_best_of_all_segmentations():
+    w = pii.weights()
+    rng = random.Random(30)
+    for _ in range(120):
+        text, _ = pii._sentence(rng)
+        text = text[:34]
+        if len(pii._tokens(text)) > 14 or not pii.ANCHOR.search(text):
+            continue
+        zones = list(pii._zones(text))
+        if len(zones) != 1:
+            continue
+        tokens, segments, feats = pii._lattice(text, *zones[0], lambda n: n)
+        by_start = defaultdict(list)
+        for (i, j, kind), f in zip(segments, feats):
+            by_start[i].append((j, kind, sum(w.get(n, -0.5) for n in f)))
+
+        def every(i):
+            if i == len(tokens):
+                yield 0.0, []
+            for j, kind, s in by_start[i]:
+                for total, rest in every(j):
+                    yield s + total, [(kind, tokens[i][1], tokens[j - 1][2]), *rest] if kind != "none" else rest
+
+        best = max(s for s, _ in every(0))
+        near = [sorted(x) for s, x in every(0) if s > best - 1e-9]
+        assert sorted(pii.field_spans(text, w)) in near
+
+
+@pytest.mark.parametrize("text, value", [("api_key: 'Zk39dkWq02LLmn4'", "Zk39dkWq02LLmn4"), ('token = "cb1a9fee807a05366fcb8b6c95c7c565ede51a72"', "cb1a9fee807a05366fcb8b6c95c7c565ede51a72"), ("PASSWORD=correct-horse-9", "correct-horse-9")])
+def test_secrets(text, value):
+    at = text.index(value)
+    assert ("secret", at, at + len(value)) in pii.find_spans("see " + text + " there", pii.weights())[1] or ("secret", at + 4, at + 4 + len(value)) in pii.find_spans("see " + text + " there", pii.weights())[1]
+    assert not [s for s in pii.find_spans("commit cb1a9fee807a05366fcb8b6c95c7c565ede51a72 of the tree, monkey: 12345678", pii.weights())[1] if s[0] == "secret"]
+
+
 def test_pii(spark, empty):
     text = "Mail a.b@c.example.org, +1 (415) 555-0132; host 10.0.0.255 not 10.0.0.256; card 4111 1111 1111 1111. é x@y"
     df = make(spark, [(1, text, "en", "s"), (2, None, "en", "s"), (None, "", "en", "s"), (3, "1" * 50_000 + "a" * 50_000 + "@", "en", "s")])
@@ -441,6 +823,17 @@ def test_entities_of_many_tokens(entity):
     assert ("email", at, at + len(entity)) in pii.find_spans(text, pii.weights())[1]
 
 
+def test_copies_of_one_document_get_pages(spark):
+    rows = [(5, "x" * 300)] * 500 + [(5, f"{i:04}" * 50) for i in range(200)] + [(None, "y" * 700)] * 30 + [(i, "z") for i in range(50)]
+    out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), limit_bytes=1000).collect()
+    assert Counter((r.doc_id, r.n_bytes) for r in out) == Counter((i, len(t)) for i, t in rows)
+    pages = defaultdict(list)
+    for r in out:
+        pages[r.shard, r.page].append(r.n_bytes)
+    assert all(sum(p) <= 1000 for p in pages.values())
+    assert sum(1 for p in pages.values() if p[0] == 300) <= 500 // 3 + 1 and len({r.shard for r in out}) > 40
+
+
 def test_pages_stay_within_the_limit(spark, tmp_path):
     rng = random.Random(15)
     sizes = [rng.choice((0, 1, 10, 300, 900, 1100, 1900, 2000)) for _ in range(400)] + [2001, 5000, 1999, 1000, 1001]
@@ -498,3 +891,39 @@ def test_pipeline(spark, tmp_path, docs):
     kept = [r for r in out.collect()]
     assert kept and all(r.lossless for r in kept)
     assert not {100, 101, 400, 401, 601} & {r.doc_id for r in kept}
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path, empty, rows):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    long = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    a, b, c = long(), long(), long()
+    odd = [(None, a, "en", "s"), (None, b, "en", None), (7, c, None, "s"), (7, a + " end", "en", "s"), (8, long(), "en", "t"), (9, None, None, None)]
+    for name, docs in (("empty", empty.select("doc_id", "text", "lang", "source", "n_chars")), ("odd", make(spark, odd).select("doc_id", "text", "lang", "source", "n_chars"))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    docs = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    kept = corpus_pipeline.filter_quality(spark, docs, f"{tmp_path}/odd")
+    kept = corpus_pipeline.drop_near_copies(spark, kept, f"{tmp_path}/odd")
+    left = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert left.total() == 4 and left[7, c] == left[None, b] == 1 and left[7, a + " end"] == 1 and left[None, a] == 0
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert out and all(r.lossless for r in out) and {r.doc_id for r in out} <= {None, 7, 8}
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session())
+    Session.sparkContext.master = "local-cluster[2,1,1024]"
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session())

@@ -37,7 +37,18 @@ def gate_status(eligible: Column, passed: Column) -> Column:
 
 
 def eligible_source(source: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(source)).isin(*PHYSICAL), F.lit(False))
+    """A source that can pass a gate; letters of either case, nothing around it."""
+    return F.coalesce(F.lower(source).isin(*PHYSICAL), F.lit(False))
+
+
+def source_reason(source: Column) -> Column:
+    """Why a source can or cannot pass: its own name if it can."""
+    name = F.lower(F.coalesce(source, F.lit("")))
+    return (
+        F.when(name.isin(*PHYSICAL), name).when(name == "faro", "FARO is a depth reference, not a tape")
+        .when(name == "external_reference", "external reference is not a tape measurement").when(name == "", "no measurement source")
+        .otherwise(F.concat(F.lit("source "), name, F.lit(" is not laser, tape, or survey")))
+    )
 
 
 def hist_bin(value: Column, low: Column, width: Column, bins: Column) -> Column:
@@ -133,6 +144,7 @@ def rgb_to_lab(r: Column, g: Column, b: Column) -> Column:
     def f(t: Column) -> Column:
         return F.when(t > 0.008856, F.cbrt(t)).otherwise(7.787 * t + 16.0 / 116.0)
 
+    # The matrix of the sRGB primaries and the D65 white point.
     lr, lg, lb = linear(r), linear(g), linear(b)
     x = (0.412453 * lr + 0.357580 * lg + 0.180423 * lb) / 0.950456
     y = 0.212671 * lr + 0.715160 * lg + 0.072169 * lb

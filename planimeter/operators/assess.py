@@ -74,9 +74,9 @@ def first_failure(checks: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def time_steps(frames: DataFrame, keys: list[str]) -> DataFrame:
-    """Frames (ord, ts) of each capture: n, and how many do not come after the one before."""
+    """Frames (ord, ts) of each capture: n, and how many come before the one ahead of them; equal times are in order."""
     w = Window.partitionBy(*keys).orderBy("ord")
-    steps = frames.withColumn("_back", F.col("ts") <= F.lag("ts").over(w))
+    steps = frames.withColumn("_back", F.col("ts") < F.lag("ts").over(w))
     return steps.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("_back").alias("n_back"))
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# How the end of a wall beside an opening was found.
+DENSE, SPARSE = "wall_termination", "sparse_wall_termination"
+
 
 def _dense(counts: DataFrame, keys: list[str], last: Column) -> DataFrame:
     """One row for each bin from 0 to last, with c (0 where nothing was counted)."""
@@ -91,42 +94,75 @@ def sparse_runs(values: DataFrame, keys: list[str], *, width: float = 0.05, shor
 
 
 def station_centres(values: DataFrame, keys: list[str]) -> DataFrame:
-    """Stations: where the 95th percentile of the gaps between neighbours is over max(0.02, 4 x median), values are
-    split at gaps over half of it and each cluster gives its median; else each value is one."""
+    """Stations of each line: keys, station, centre, n.
+
+    Lines of under three values have each as a station; of under three gaps over 0.1 mm one station, the median. Where
+    the 95th percentile of those gaps is over max(0.02, 4 x their median), values are split at gaps of half of it or
+    more and each part gives its median; else each value is a station."""
     along = Window.partitionBy(*keys).orderBy("along")
     gaps = values.select(*keys, "along").withColumn("gap", F.col("along") - F.lag("along").over(along))
-    cuts = gaps.groupBy(*keys).agg(F.percentile("gap", 0.95).alias("p95"), F.percentile("gap", 0.5).alias("mid"))
+    wide = F.when(F.col("gap") > 1e-4, F.col("gap"))
+    cuts = gaps.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count(wide).alias("_wide"), F.percentile(wide, 0.95).alias("p95"), F.percentile(wide, 0.5).alias("mid"))
     split = F.col("p95") > F.greatest(F.lit(0.02), 4 * F.col("mid"))
-    marked = gaps.join(cuts, keys).withColumn("_new", F.when(split, (F.col("gap") > 0.5 * F.col("p95")).cast("int")).otherwise(F.lit(1)))
-    order = Window.partitionBy(*keys).orderBy("along").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = marked.withColumn("station", F.sum(F.coalesce("_new", F.lit(1))).over(order))
+    new = (
+        F.when(F.col("gap").isNull() | (F.col("_n") < 3), 1).when(F.col("_wide") < 3, 0)
+        .when(split, (F.col("gap") >= 0.5 * F.col("p95")).cast("int")).otherwise(1)
+    )
+    # Of equal values the one with the gap comes first, as it did there.
+    order = Window.partitionBy(*keys).orderBy("along", F.col("gap").desc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = gaps.join(cuts, keys).withColumn("_new", new).withColumn("station", F.sum("_new").over(order))
     return numbered.groupBy(*keys, "station").agg(F.percentile("along", 0.5).alias("centre"), F.count(F.lit(1)).alias("n"))
 
 
-def local_pitch(centres: DataFrame, keys: list[str]) -> DataFrame:
-    """Median spacing of neighbouring centres among those between 0.0001 and 0.15; 0.02 where there is none."""
+def local_pitch(values: DataFrame, keys: list[str]) -> DataFrame:
+    """Median spacing of neighbouring stations among those between 0.0001 and 0.15; 0.02 where there is none, or under
+    three stations."""
     along = Window.partitionBy(*keys).orderBy("centre")
-    d = centres.withColumn("_d", F.col("centre") - F.lag("centre").over(along))
-    return d.groupBy(*keys).agg(F.coalesce(F.percentile(F.when((F.col("_d") > 1e-4) & (F.col("_d") < 0.15), F.col("_d")), 0.5), F.lit(0.02)).alias("pitch"))
+    d = station_centres(values, keys).withColumn("_d", F.col("centre") - F.lag("centre").over(along))
+    near = F.percentile(F.when((F.col("_d") > 1e-4) & (F.col("_d") < 0.15), F.col("_d")), 0.5)
+    return d.groupBy(*keys).agg(F.coalesce(F.when(F.count(F.lit(1)) >= 3, near), F.lit(0.02)).alias("pitch"))
 
 
 def interval_centre(brackets: DataFrame, keys: list[str]) -> DataFrame:
     """Centre of the overlap of brackets (lo, hi) that hold the median midpoint; the median itself where under two
-    do or they do not overlap."""
+    do or they do not overlap. met: the overlap was taken."""
     mid = (F.col("lo") + F.col("hi")) / 2
     med = brackets.groupBy(*keys).agg(F.percentile(mid, 0.5).alias("m"))
     kept = brackets.join(med, keys)
     holds = (F.col("lo") - 1e-9 <= F.col("m")) & (F.col("m") <= F.col("hi") + 1e-9)
     o = kept.groupBy(*keys).agg(F.first("m").alias("m"), F.count_if(holds).alias("n"), F.max(F.when(holds, F.col("lo"))).alias("lo"), F.min(F.when(holds, F.col("hi"))).alias("hi"))
-    return o.select(*keys, F.when((F.col("n") >= 2) & (F.col("lo") <= F.col("hi")), (F.col("lo") + F.col("hi")) / 2).otherwise(F.col("m")).alias("centre"), "n")
-
-
-def jamb_width(views: DataFrame, keys: list[str]) -> DataFrame:
-    """Width of an opening seen in several views: median, median absolute deviation, and a confidence that falls with
-    the spread; sparse says a view is thin."""
-    med = views.groupBy(*keys).agg(F.percentile("width", 0.5).alias("width"), F.count(F.lit(1)).alias("n"), F.bool_and("sparse").alias("thin"))
-    dev = views.select(*keys, F.col("width").alias("_w")).join(med, keys).groupBy(*keys).agg(F.percentile(F.abs(F.col("_w") - F.col("width")), 0.5).alias("spread"))
+    met = (F.col("n") >= 2) & (F.col("lo") - 1e-6 <= F.col("hi"))
+    return o.select(*keys, F.when(met, (F.col("lo") + F.col("hi")) / 2).otherwise(F.col("m")).alias("centre"), "n", met.alias("met"))
+
+
+def aggregate_jambs(views: DataFrame, keys: list[str]) -> DataFrame:
+    """An opening from the edges that several views give it: left, right, width, method, frames, spread_m, confidence,
+    localization.
+
+    views: keys, left, right, half_left, half_right (half the interval in which an edge lies, or null), method. Where all
+    views have halves each edge is the centre of the overlap of its intervals, else the median. spread_m is the median
+    absolute deviation of the widths. Views that are all sparse stay under dense ones in confidence; one view alone has
+    0.80 if it is a dense termination, else 0.45. Edges that cross give no opening."""
+    ready = F.bool_and(F.col("half_left").isNotNull() & F.col("half_right").isNotNull())
+    g = views.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("frames"), ready.alias("_ready"), F.percentile("left", 0.5).alias("_l"), F.percentile("right", 0.5).alias("_r"),
+        F.percentile(F.col("right") - F.col("left"), 0.5).alias("_w"), F.bool_and(F.coalesce(F.col("method") == SPARSE, F.lit(False))).alias("_thin"), F.max("method").alias("_m"),
+    )
+    spread = views.join(g.select(*keys, "_w"), keys).groupBy(*keys).agg(F.percentile(F.abs(F.col("right") - F.col("left") - F.col("_w")), 0.5).alias("_s"))
+    for side in ("left", "right"):
+        half = F.col(f"half_{side}")
+        found = interval_centre(views.where(half.isNotNull()).select(*keys, (F.col(side) - half).alias("lo"), (F.col(side) + half).alias("hi")), keys)
+        g = g.join(found.select(*keys, F.col("centre").alias(f"_{side}"), F.col("met").alias(f"_{side}_met")), keys, "left")
+    g = g.join(spread, keys)
+    edge = lambda side, plain: F.when(F.col("_ready"), F.col(f"_{side}")).otherwise(F.col(plain))
+    g = g.withColumns({"left": edge("left", "_l"), "right": edge("right", "_r")}).where(F.col("right") > F.col("left"))
+    one, dense = F.col("frames") == 1, F.col("_m") == DENSE
+    method = F.when(F.col("_thin"), SPARSE).when(one & dense, DENSE).when(one, "single_frame_unobserved_interval").otherwise("multi_frame_wall_termination")
     clip = lambda c, lo, hi: F.greatest(F.lit(lo), F.least(F.lit(hi), c))
-    thin = clip(0.52 + 0.04 * (F.col("n") - 1) - F.col("spread") / 0.06, 0.35, 0.62)
-    conf = F.when(F.col("thin"), thin).when(F.col("n") == 1, F.lit(0.80)).otherwise(clip(1 - F.col("spread") / 0.06, 0.15, 0.95))
-    return med.join(dev, keys).select(*keys, "width", "spread", "n", conf.alias("confidence"))
+    thin = clip(0.52 + 0.04 * (F.col("frames") - 1) - F.col("_s") / 0.06, 0.35, 0.62)
+    sure = F.when(F.col("_thin"), thin).when(one & dense, 0.80).when(one, 0.45).otherwise(clip(1 - F.col("_s") / 0.06, 0.15, 0.95))
+    met = F.col("_ready") & F.col("_left_met") & F.col("_right_met")
+    return g.select(
+        *keys, "left", "right", (F.col("right") - F.col("left")).alias("width"), method.alias("method"), "frames", F.round("_s", 4).alias("spread_m"), F.round(sure, 2).alias("confidence"),
+        F.when(met, "interval_intersection").otherwise("median_midpoint").alias("localization"),
+    )

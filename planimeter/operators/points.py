@@ -18,10 +18,15 @@ def voxel_downsample(points: DataFrame, voxel: float, axes=("x", "y", "z")) -> D
 
 def vertical_columns(points: DataFrame, cell: float = 0.05) -> DataFrame:
     """Points in (x, z) cells that are tall: spread 0.65, top 1.15, three returns between 0.45 and 1.6."""
+    return upright(points, cell).where("vertical").drop("vertical")
+
+
+def upright(points: DataFrame, cell: float = 0.05) -> DataFrame:
+    """Points with vertical: whether their (x, z) cell is tall."""
     at = Window.partitionBy("capture_id", F.floor(F.col("x") / cell), F.floor(F.col("z") / cell))
     low, high = F.min("y").over(at), F.max("y").over(at)
     middle = F.count_if((F.col("y") > 0.45) & (F.col("y") < 1.6)).over(at)
-    return points.withColumns({"_tall": (high - low >= 0.65) & (high >= 1.15) & (middle >= 3)}).where("_tall").drop("_tall")
+    return points.withColumn("vertical", (high - low >= 0.65) & (high >= 1.15) & (middle >= 3))
 
 
 def fence(points: DataFrame, axes=("x", "y", "z"), slack: float = 1.0, least: int = 30) -> DataFrame:
@@ -88,13 +93,14 @@ def rigid_fit_2d(pairs: DataFrame) -> DataFrame:
 
 def depth_points(pixels: DataFrame, poses: DataFrame, *, stride: int = 3, near: float = 0.25, far: float = 4.8, least: int = 40) -> DataFrame:
     """World points of depth pixels (capture_id, frame, v, u, mm, conf): confident and in range, frames with at
-    least `least` of them, every third one in row order, moved by the pose of the frame. A missing
-    confidence counts as confident."""
+    least `least` of them, every third one in row order, moved by the pose of the frame. A frame without any
+    confidence counts as confident; in one that has some, a pixel without is not."""
     from planimeter.functions.expr import backproject, rotate_by_quaternion
 
     z = F.col("mm") / 1000.0
-    good = pixels.where((z > near) & (z < far) & (F.coalesce("conf", F.lit(2)) >= 2))
     frame = Window.partitionBy("capture_id", "frame")
+    sure = F.when(F.max("conf").over(frame).isNull(), F.lit(True)).otherwise(F.coalesce(F.col("conf") >= 2, F.lit(False)))
+    good = pixels.withColumn("_sure", sure).where((z > near) & (z < far) & F.col("_sure"))
     kept = good.withColumns({"_n": F.count(F.lit(1)).over(frame), "_i": F.row_number().over(frame.orderBy("v", "u"))})
     kept = kept.where((F.col("_n") >= least) & ((F.col("_i") - 1) % stride == 0))
     moved = kept.join(poses, ["capture_id", "frame"]).withColumn("_c", backproject(F.col("u"), F.col("v"), z, *[F.col(c) for c in ("fx", "fy", "cx", "cy")]))
@@ -102,10 +108,13 @@ def depth_points(pixels: DataFrame, poses: DataFrame, *, stride: int = 3, near:
     return moved.select("capture_id", "frame", "v", "u", *[(F.col(f"_w.{a}") + F.col("t")[i]).alias(a) for i, a in enumerate("xyz")])
 
 
-def spaced_poses(poses: DataFrame, spacing: float = 0.18) -> DataFrame:
-    """Poses kept: the first, then each at least `spacing` from the last kept; one row a capture, indices in order.
+def spaced_poses(poses: DataFrame, spacing: float = 0.18, most: int = 90) -> DataFrame:
+    """Usable poses kept: the first, then each at least `spacing` from the last kept; over `most` evenly spaced ones of
+    them. One row a capture, indices in order.
 
     A fold over a capture's trajectory, which is some thousand poses at most."""
+    from planimeter.functions.expr import pose_usable
+
     ordered = F.array_sort(F.collect_list(F.struct("pose_index", "t")))
     first = F.struct(F.array().cast("array<int>").alias("kept"), F.lit(None).cast("array<double>").alias("last"))
 
@@ -114,4 +123,7 @@ def spaced_poses(poses: DataFrame, spacing: float = 0.18) -> DataFrame:
         take = acc["last"].isNull() | (d >= spacing)
         return F.when(take, F.struct(F.concat(acc["kept"], F.array(p["pose_index"])).alias("kept"), p["t"].alias("last"))).otherwise(acc)
 
-    return poses.groupBy("capture_id").agg(ordered.alias("p")).select("capture_id", F.aggregate("p", first, step)["kept"].alias("kept"))
+    usable = poses.where(pose_usable(F.col("t"), F.col("q"))).withColumn("pose_index", F.col("pose_index").cast("int"))
+    kept = usable.groupBy("capture_id").agg(ordered.alias("p")).select("capture_id", F.aggregate("p", first, step)["kept"].alias("kept"))
+    even = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.get("kept", F.floor(i * (F.size("kept") - 1) / F.lit(most - 1)).cast("int")))
+    return kept.withColumn("kept", F.when(F.size("kept") > most, even).otherwise(F.col("kept")))

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planimeter.functions.expr import eligible_source, error_row, gate_status
+from planimeter.functions.expr import PHYSICAL, REFERENCE, eligible_source, error_row, gate_status
+
+# Kinds of measurements, and sources that only guess.
+KINDS = ("wall_length", "opening_width", "ceiling_height", "floor_area")
+GUESSED = ("estimated", "synthetic", "chest_height_prior", "guess", "guessed")
 
 
 def rank_match(predicted: DataFrame, truth: DataFrame, keys: list[str], order: list[str], *, null_safe: tuple[str, ...] = (), value: str = "value") -> DataFrame:
@@ -56,18 +60,26 @@ def opening_gate(rows: DataFrame, keys: list[str], limit: float = 0.02, share: f
 
 def ceiling_gate(rows: DataFrame, keys: list[str], limit: float = 0.015, spread_limit: float = 0.01) -> DataFrame:
     """classification and status of ceilings: biased over 1.5 cm, unrepeatable over 1 cm of spread, both on errors
-    rounded to 6 places. Without a spread nothing can pass, but a bias still fails."""
-    biased = F.bool_or(F.round(F.abs(F.col("predicted") - F.col("truth")), 6) > limit)
-    loose = F.bool_or(F.round(F.col("spread"), 6) > spread_limit)
-    unmeasured = F.bool_or(F.col("spread").isNull())
-    g = rows.groupBy(*keys).agg(biased.alias("b"), loose.alias("l"), unmeasured.alias("u"), F.bool_and(eligible_source(F.col("source"))).alias("eligible"))
-    b, l, u = (F.coalesce(F.col(c), F.lit(False)) for c in ("b", "l", "u"))
+    rounded to 6 places; with the mean, median and largest error and the largest spread.
+
+    Rows without truth or prediction count for nothing; a group of such rows only is blocked. Where no counted row has a
+    spread nothing can pass, but a bias still fails; where some have, these decide."""
+    counted = F.col("predicted").isNotNull() & F.col("truth").isNotNull()
+    error = F.when(counted, F.abs(F.col("predicted") - F.col("truth")))
+    spread = F.when(counted, F.col("spread"))
+    g = rows.groupBy(*keys).agg(
+        F.count(error).alias("n"), F.bool_or(F.round(error, 6) > limit).alias("b"), F.bool_or(F.round(spread, 6) > spread_limit).alias("l"), F.count(spread).alias("s"),
+        F.round(F.avg(error), 4).alias("mean_error_m"), F.round(F.percentile(error, 0.5), 4).alias("median_error_m"), F.round(F.max(error), 4).alias("max_error_m"),
+        F.round(F.max(spread), 4).alias("max_repeat_spread_m"), F.bool_and(eligible_source(F.col("source"))).alias("eligible"),
+    )
+    b, l = (F.coalesce(F.col(c), F.lit(False)) for c in ("b", "l"))
     kind = (
-        F.when(u & b, "biased_repeat_not_measured").when(u, "repeat_not_measured").when(b & l, "biased_and_unrepeatable")
-        .when(b, "biased_but_repeatable").when(l, "unrepeatable").otherwise("passed")
+        F.when(F.col("n") == 0, "blocked").when((F.col("s") == 0) & b, "biased_repeat_not_measured").when(F.col("s") == 0, "repeat_not_measured")
+        .when(b & l, "both").when(b, "biased_but_repeatable").when(l, "unrepeatable").otherwise("passed")
     )
-    passed = F.when(u & ~b, F.lit(None).cast("boolean")).otherwise(kind == "passed")
-    return g.select(*keys, kind.alias("classification"), gate_status(F.col("eligible"), passed).alias("status"))
+    passed = F.when(~kind.isin("blocked", "repeat_not_measured"), kind == "passed")
+    numbers = ("mean_error_m", "median_error_m", "max_error_m", "max_repeat_spread_m")
+    return g.select(*keys, kind.alias("classification"), gate_status(F.col("eligible"), passed).alias("status"), *numbers)
 
 
 def repeat_rows(matched: DataFrame, abs_limit: float = 0.01, rel_limit: float = 0.005) -> DataFrame:
@@ -92,12 +104,18 @@ def incumbent_gate(rows: DataFrame, keys: list[str], tie: float = 1e-6, share: f
 
 
 def violations(rows: DataFrame) -> DataFrame:
-    """Rule breaches of ground-truth rows, one row a breach: id, rule."""
+    """Rule breaches of ground-truth rows (id, measurement_type, property_id, capture_id, room_id, value_m, unit,
+    uncertainty_m, source, guessed, bundle_property), one row a breach: id, rule. An empty or null source is none."""
     c = F.col
+    source, blank = F.lower(F.coalesce(c("source"), F.lit(""))), lambda n: F.coalesce(c(n).cast("string"), F.lit("")) == ""
+    guessed = source.isin(*GUESSED) | F.coalesce(c("guessed"), F.lit(False))
     rules = {
-        "missing_property": c("property_id").isNull(), "missing_room": c("room_id").isNull(), "missing_value": c("value_m").isNull(),
-        "not_positive": c("value_m") <= 0, "bad_unit": ~F.coalesce(c("unit").isin("m", "m2"), F.lit(False)),
-        "bad_uncertainty": c("uncertainty_m") < 0, "not_physical": ~eligible_source(c("source")),
+        "unknown_kind": ~F.coalesce(c("measurement_type").isin(*KINDS), F.lit(False)), "missing_value": c("value_m").isNull(),
+        "bad_unit": ~F.coalesce(c("unit").isin("m", "m2"), F.lit(False)), "area_unit": (c("measurement_type") == "floor_area") & ~F.coalesce(c("unit") == "m2", F.lit(False)),
+        "missing_uncertainty": c("uncertainty_m").isNull(), "guessed_source": guessed, "reference_source": source.isin(*REFERENCE),
+        "not_physical": (source != "") & ~source.isin(*PHYSICAL, *REFERENCE),
+        "missing_property_id": blank("property_id"), "missing_capture_id": blank("capture_id"), "missing_room_id": blank("room_id"),
+        "other_property": ~blank("property_id") & ~blank("bundle_property") & (c("property_id") != c("bundle_property")),
     }
     return rows.select("id", F.explode(F.array_compact(F.array(*[F.when(cond, F.lit(n)) for n, cond in rules.items()]))).alias("rule"))
 

@@ -130,7 +130,7 @@ def peak_merge(spark, sf_dir):
 
 
 RUNS = """
-WITH v AS (SELECT event_type AS line, value / 10.0 AS along FROM events WHERE value IS NOT NULL AND event_id % 5 = 0),
+WITH v AS (SELECT event_type || '-' || (user_id % 4) AS line, value / 10.0 AS along FROM events WHERE value IS NOT NULL),
 base AS (SELECT line, min(along) AS lo FROM v GROUP BY 1 HAVING count(*) >= {least}),
 c AS (SELECT line, floor((along - lo) / 0.05)::BIGINT AS bin, count(*) AS c FROM v JOIN base USING (line) GROUP BY ALL),
 m AS (SELECT line, max(bin) AS last FROM c GROUP BY 1),
@@ -139,8 +139,8 @@ d AS (SELECT m.line, lo, b.bin, coalesce(c.c, 0) AS c FROM m JOIN base USING (li
 
 
 def _along(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").where("value is not null and event_id % 5 = 0")
-    return e.select(F.col("event_type").alias("line"), (F.col("value") / 10.0).alias("along"))
+    e = _t(spark, sf_dir, "events").where("value is not null")
+    return e.select(F.concat("event_type", F.lit("-"), (F.col("user_id") % 4).cast("string")).alias("line"), (F.col("value") / 10.0).alias("along"))
 
 
 @query(RUNS.format(least=10) + """
@@ -160,27 +160,56 @@ def sparse_runs(spark, sf_dir):
     return lines.sparse_runs(_along(spark, sf_dir), ["line"]).select("line", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"), "n")
 
 
-@query("""
-WITH v AS (SELECT DISTINCT l_suppkey AS line, epoch(l_shipdate) / 86400.0 / 100 AS along FROM lineitem),
+# Lines with many values and lines with few, repeated values among them; 1 / 128 is exact in binary.
+STATIONS = """
+WITH v AS (SELECT 's' || l_suppkey AS line, epoch(l_shipdate) / 86400.0 / 128 AS along FROM lineitem UNION ALL SELECT 'o' || l_orderkey, l_quantity / 128.0 FROM lineitem),
 g AS (SELECT *, along - lag(along) OVER (PARTITION BY line ORDER BY along) AS gap FROM v),
-c AS (SELECT line, quantile_cont(gap, 0.95) AS p95, quantile_cont(gap, 0.5) AS mid FROM g GROUP BY 1),
-m AS (SELECT g.line, along, CASE WHEN p95 > greatest(0.02, 4 * mid) THEN coalesce((gap > 0.5 * p95)::INT, 1) ELSE 1 END AS nw FROM g JOIN c USING (line)),
-n AS (SELECT *, sum(nw) OVER (PARTITION BY line ORDER BY along ROWS UNBOUNDED PRECEDING) AS st FROM m)
-SELECT line, st::BIGINT AS station, round(quantile_cont(along, 0.5), 4) AS centre, count(*) AS n FROM n GROUP BY ALL""")
+c AS (SELECT line, count(*) AS n, count(*) FILTER (gap > 1e-4) AS w, quantile_cont(gap, 0.95) FILTER (gap > 1e-4) AS p95, quantile_cont(gap, 0.5) FILTER (gap > 1e-4) AS mid FROM g GROUP BY 1),
+m AS (SELECT g.line, along, gap, CASE WHEN gap IS NULL OR n < 3 THEN 1 WHEN w < 3 THEN 0 WHEN p95 > greatest(0.02, 4 * mid) THEN (gap >= 0.5 * p95)::INT ELSE 1 END AS nw FROM g JOIN c USING (line)),
+n AS (SELECT *, sum(nw) OVER (PARTITION BY line ORDER BY along, gap DESC NULLS FIRST ROWS UNBOUNDED PRECEDING) AS st FROM m),
+t AS (SELECT line, st::BIGINT AS station, quantile_cont(along, 0.5) AS centre, count(*) AS n FROM n GROUP BY ALL)
+"""
+
+
+def _station_values(spark, sf_dir):
+    l = _t(spark, sf_dir, "lineitem")
+    dates = l.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("line"), (F.unix_timestamp("l_shipdate") / 86400.0 / 128).alias("along"))
+    return dates.unionByName(l.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("line"), (F.col("l_quantity") / 128.0).alias("along")))
+
+
+@query(STATIONS + "SELECT line, station, round(centre, 4) AS centre, n FROM t")
 def stations(spark, sf_dir):
-    v = _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("line"), (F.unix_timestamp("l_shipdate") / 86400.0 / 100).alias("along")).distinct()
-    return lines.station_centres(v, ["line"]).select("line", "station", F.round("centre", 4).alias("centre"), "n")
+    return lines.station_centres(_station_values(spark, sf_dir), ["line"]).select("line", "station", F.round("centre", 4).alias("centre"), "n")
+
+
+@query(STATIONS + """, d AS (SELECT *, centre - lag(centre) OVER (PARTITION BY line ORDER BY centre) AS d FROM t)
+SELECT line, round(CASE WHEN count(*) >= 3 THEN coalesce(quantile_cont(d, 0.5) FILTER (d > 1e-4 AND d < 0.15), 0.02) ELSE 0.02 END, 4) AS pitch FROM d GROUP BY 1""")
+def local_pitch(spark, sf_dir):
+    return lines.local_pitch(_station_values(spark, sf_dir), ["line"]).withColumn("pitch", F.round("pitch", 4))
+
+
+def _centre(side: str) -> str:
+    a, b = f"({side} - half)", f"({side} + half)"
+    return f"""
+c{side} AS (SELECT wall, quantile_cont(({a} + {b}) / 2, 0.5) AS m FROM v WHERE half IS NOT NULL GROUP BY 1),
+k{side} AS (SELECT wall, any_value(m) AS m, count(*) FILTER ({a} - 1e-9 <= m AND m <= {b} + 1e-9) AS n, max({a}) FILTER ({a} - 1e-9 <= m AND m <= {b} + 1e-9) AS lo, min({b}) FILTER ({a} - 1e-9 <= m AND m <= {b} + 1e-9) AS hi FROM v JOIN c{side} USING (wall) WHERE half IS NOT NULL GROUP BY 1),
+i{side} AS (SELECT wall, n >= 2 AND lo - 1e-6 <= hi AS met, CASE WHEN n >= 2 AND lo - 1e-6 <= hi THEN (lo + hi) / 2 ELSE m END AS at FROM k{side})"""
 
 
 @query("""
-WITH v AS (SELECT l_partkey AS wall, l_quantity / 50.0 AS width, l_discount < 0.05 AS sparse FROM lineitem),
-m AS (SELECT wall, quantile_cont(width, 0.5) AS w, count(*) AS n, bool_and(sparse) AS thin FROM v GROUP BY 1),
-d AS (SELECT v.wall, quantile_cont(abs(v.width - m.w), 0.5) AS s FROM v JOIN m USING (wall) GROUP BY 1)
-SELECT wall, round(w, 4) AS width, round(s, 4) AS spread, n, round(CASE WHEN thin THEN greatest(0.35, least(0.62, 0.52 + 0.04 * (n - 1) - s / 0.06)) WHEN n = 1 THEN 0.8 ELSE greatest(0.15, least(0.95, 1 - s / 0.06)) END, 4) AS confidence FROM m JOIN d USING (wall)""")
+WITH v AS (SELECT l_partkey AS wall, l_quantity / 50.0 AS lft, l_quantity / 50.0 + 0.75 + l_discount AS rgt, CASE WHEN l_partkey % 3 > 0 THEN 0.3 + l_tax END AS half, CASE WHEN l_partkey % 5 = 0 OR l_linenumber < 3 THEN 'sparse_wall_termination' WHEN l_linenumber < 7 THEN 'wall_termination' END AS how FROM lineitem),
+a AS (SELECT wall, count(*) AS n, bool_and(half IS NOT NULL) AS ready, quantile_cont(lft, 0.5) AS ml, quantile_cont(rgt, 0.5) AS mr, quantile_cont(rgt - lft, 0.5) AS mw, bool_and(coalesce(how = 'sparse_wall_termination', false)) AS thin, max(how) AS how FROM v GROUP BY 1),
+s AS (SELECT wall, quantile_cont(abs(rgt - lft - mw), 0.5) AS s FROM v JOIN a USING (wall) GROUP BY 1),""" + _centre("lft") + "," + _centre("rgt") + """,
+j AS (SELECT a.*, s.s, CASE WHEN ready THEN ilft.at ELSE ml END AS x, CASE WHEN ready THEN irgt.at ELSE mr END AS y, ready AND coalesce(ilft.met, false) AND coalesce(irgt.met, false) AS met FROM a JOIN s USING (wall) LEFT JOIN ilft USING (wall) LEFT JOIN irgt USING (wall))
+SELECT wall, round(x, 4) AS lft, round(y, 4) AS rgt, n AS frames, CASE WHEN thin THEN 'sparse_wall_termination' WHEN n = 1 AND how = 'wall_termination' THEN how WHEN n = 1 THEN 'single_frame_unobserved_interval' ELSE 'multi_frame_wall_termination' END AS method,
+round(CASE WHEN thin THEN greatest(0.35, least(0.62, 0.52 + 0.04 * (n - 1) - s / 0.06)) WHEN n = 1 AND how = 'wall_termination' THEN 0.8 WHEN n = 1 THEN 0.45 ELSE greatest(0.15, least(0.95, 1 - s / 0.06)) END, 2) AS confidence, CASE WHEN met THEN 'interval_intersection' ELSE 'median_midpoint' END AS localization FROM j WHERE y > x""")
 def jamb_aggregate(spark, sf_dir):
-    v = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("wall"), (F.col("l_quantity") / 50.0).alias("width"), (F.col("l_discount") < 0.05).alias("sparse"))
-    j = lines.jamb_width(v, ["wall"])
-    return j.select("wall", *[F.round(c, 4).alias(c) for c in ("width", "spread", "confidence")], "n")
+    c = F.col
+    q, half = c("l_quantity") / 50.0, F.when(c("l_partkey") % 3 > 0, 0.3 + c("l_tax"))
+    how = F.when((c("l_partkey") % 5 == 0) | (c("l_linenumber") < 3), lines.SPARSE).when(c("l_linenumber") < 7, lines.DENSE)
+    v = _t(spark, sf_dir, "lineitem").select(c("l_partkey").alias("wall"), q.alias("left"), (q + 0.75 + c("l_discount")).alias("right"), half.alias("half_left"), half.alias("half_right"), how.alias("method"))
+    j = lines.aggregate_jambs(v, ["wall"])
+    return j.select("wall", F.round("left", 4).alias("lft"), F.round("right", 4).alias("rgt"), "frames", "method", "confidence", "localization")
 
 
 @query("""
@@ -204,6 +233,7 @@ def nearest_frame(spark, sf_dir):
     return n.withColumn("gap", F.round("gap", 3))
 
 
+# Rooms that touch as the photo fixture's do (three walls shared, none overlapping).
 FOUR = "(VALUES ('connector', 4.0, 0.6, 5.4, 2.4), ('room_01', 0.0, 0.0, 4.0, 3.0), ('room_02', 5.4, 0.0, 9.0, 3.2), ('room_03', 0.4, 3.0, 3.4, 5.6)) r(room_id, x0, z0, x1, z1)"
 
 
@@ -288,16 +318,17 @@ def opening_gate(spark, sf_dir):
 
 
 @query("""
-WITH r AS (SELECT o_custkey AS room, o_totalprice % 7 / 1000 + 2.5 AS predicted, 2.5 AS truth, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_totalprice % 5 / 400 END AS spread FROM orders),
-g AS (SELECT room, bool_or(round(abs(predicted - truth), 6) > 0.015) AS b, coalesce(bool_or(round(spread, 6) > 0.01), false) AS l, bool_or(spread IS NULL) AS u FROM r GROUP BY 1)
-SELECT room, CASE WHEN u AND b THEN 'biased_repeat_not_measured' WHEN u THEN 'repeat_not_measured' WHEN b AND l THEN 'biased_and_unrepeatable' WHEN b THEN 'biased_but_repeatable' WHEN l THEN 'unrepeatable' ELSE 'passed' END AS classification,
-CASE WHEN room % 5 = 0 OR (u AND NOT b) THEN 'BLOCKED' WHEN b OR l THEN 'FAIL' ELSE 'PASS' END AS status FROM g""")
+WITH r AS (SELECT o_custkey AS room, CASE WHEN o_orderkey % 13 > 0 THEN o_totalprice % 7 / 500 + 2.5 END AS predicted, CASE WHEN o_orderkey % 17 > 0 THEN 2.5 END AS truth, CASE WHEN o_custkey % 4 > 0 AND o_orderkey % 9 > 0 THEN o_totalprice % 5 / 400 END AS spread FROM orders),
+g AS (SELECT room, count(predicted - truth) AS n, bool_or(round(abs(predicted - truth), 6) > 0.015) AS b, bool_or(round(spread, 6) > 0.01) FILTER (predicted IS NOT NULL AND truth IS NOT NULL) AS l, count(spread) FILTER (predicted IS NOT NULL AND truth IS NOT NULL) AS s FROM r GROUP BY 1),
+k AS (SELECT room, CASE WHEN n = 0 THEN 'blocked' WHEN s = 0 AND b THEN 'biased_repeat_not_measured' WHEN s = 0 THEN 'repeat_not_measured' WHEN b AND l THEN 'both' WHEN b THEN 'biased_but_repeatable' WHEN l THEN 'unrepeatable' ELSE 'passed' END AS classification FROM g)
+SELECT room, classification, CASE WHEN room % 5 = 0 OR classification IN ('blocked', 'repeat_not_measured') THEN 'BLOCKED' WHEN classification = 'passed' THEN 'PASS' ELSE 'FAIL' END AS status FROM k""")
 def ceiling_gate(spark, sf_dir):
+    c, k = F.col, F.col("o_orderkey")
     o = _t(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("room"), (F.col("o_totalprice") % 7 / 1000 + 2.5).alias("predicted"), F.lit(2.5).alias("truth"),
-        F.when(F.col("o_orderkey") % 9 != 0, F.col("o_totalprice") % 5 / 400).alias("spread"), F.when(F.col("o_custkey") % 5 == 0, "faro").otherwise("tape").alias("source"),
+        c("o_custkey").alias("room"), F.when(k % 13 > 0, c("o_totalprice") % 7 / 500 + 2.5).alias("predicted"), F.when(k % 17 > 0, 2.5).alias("truth"),
+        F.when((c("o_custkey") % 4 > 0) & (k % 9 > 0), c("o_totalprice") % 5 / 400).alias("spread"), F.when(c("o_custkey") % 5 == 0, "faro").otherwise("tape").alias("source"),
     )
-    return scoring.ceiling_gate(o, ["room"])
+    return scoring.ceiling_gate(o, ["room"]).select("room", "classification", "status")
 
 
 REPEAT = """
@@ -332,12 +363,19 @@ def incumbent_gate(spark, sf_dir):
     return scoring.incumbent_gate(p, ["property"])
 
 
-GT = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_custkey END AS property_id, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderpriority END AS room_id, CASE WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderkey % 19 = 0 THEN -1.0 ELSE o_totalprice END AS value_m, CASE WHEN o_orderkey % 7 = 0 THEN 'cm' ELSE 'm' END AS unit, CASE WHEN o_orderkey % 23 = 0 THEN -0.1 ELSE 0.1 END AS uncertainty_m, CASE WHEN o_orderstatus = 'F' THEN 'faro' ELSE ' Laser' END AS source FROM orders"
+GT = (
+    "SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'wall_length' WHEN 1 THEN 'floor_area' WHEN 2 THEN 'opening_width' WHEN 3 THEN 'ceiling_height' ELSE 'guess' END AS measurement_type, CASE WHEN o_orderkey % 11 > 0 THEN 'p' || (o_custkey % 3) END AS property_id, "
+    "CASE WHEN o_orderkey % 12 > 0 THEN 'c' END AS capture_id, CASE WHEN o_orderkey % 13 > 0 THEN o_orderpriority ELSE '' END AS room_id, CASE WHEN o_orderkey % 17 > 0 THEN o_totalprice END AS value_m, CASE o_orderkey % 7 WHEN 0 THEN 'cm' WHEN 1 THEN 'm2' ELSE 'm' END AS unit, "
+    "CASE WHEN o_orderkey % 23 > 0 THEN 0.1 END AS uncertainty_m, CASE o_orderkey % 9 WHEN 0 THEN 'faro' WHEN 1 THEN 'Estimated' WHEN 2 THEN 'ruler' WHEN 3 THEN '' WHEN 4 THEN NULL ELSE 'Laser' END AS source, o_orderkey % 29 = 0 AS guessed, CASE WHEN o_custkey % 4 > 0 THEN 'p1' END AS bundle_property FROM orders"
+)
+RULES = {
+    "unknown_kind": "measurement_type = 'guess'", "missing_value": "value_m IS NULL", "bad_unit": "unit NOT IN ('m', 'm2')", "area_unit": "measurement_type = 'floor_area' AND unit <> 'm2'", "missing_uncertainty": "uncertainty_m IS NULL",
+    "guessed_source": "guessed OR lower(source) = 'estimated'", "reference_source": "source = 'faro'", "not_physical": "lower(source) IN ('estimated', 'ruler')", "missing_property_id": "property_id IS NULL", "missing_capture_id": "capture_id IS NULL",
+    "missing_room_id": "room_id = ''", "other_property": "property_id <> bundle_property",
+}
 
 
-@query(f"""WITH g AS ({GT})
-SELECT id, 'missing_property' AS rule FROM g WHERE property_id IS NULL UNION ALL SELECT id, 'missing_room' FROM g WHERE room_id IS NULL UNION ALL SELECT id, 'missing_value' FROM g WHERE value_m IS NULL
-UNION ALL SELECT id, 'not_positive' FROM g WHERE value_m <= 0 UNION ALL SELECT id, 'bad_unit' FROM g WHERE unit NOT IN ('m', 'm2') UNION ALL SELECT id, 'bad_uncertainty' FROM g WHERE uncertainty_m < 0 UNION ALL SELECT id, 'not_physical' FROM g WHERE lower(trim(source)) NOT IN ('laser', 'tape', 'survey')""")
+@query(f"WITH g AS ({GT}) " + " UNION ALL ".join(f"SELECT id, '{n}' AS rule FROM g WHERE {w}" for n, w in RULES.items()))
 def gt_violations(spark, sf_dir):
     _t(spark, sf_dir, "orders").createOrReplaceTempView("planimeter_orders")
     return scoring.violations(spark.sql(GT.replace("FROM orders", "FROM planimeter_orders")))
@@ -373,9 +411,3 @@ SELECT wall_id, ia, ih, round(dl, 4) AS dl, round(da, 4) AS da, round(db, 4) AS
 def residual_cells(spark, sf_dir):
     r = damage.residual_cells(damage.colour_cells(_cells_input(spark, sf_dir), ["wall_id"]), ["wall_id"])
     return r.select("wall_id", "ia", "ih", *[F.round(c, 4).alias(c) for c in ("dl", "da", "db")], "anomalous")
-
-
-@query()
-def damage_regions(spark, sf_dir):
-    cells = damage.colour_cells(_cells_input(spark, sf_dir), ["wall_id"])
-    return damage.damage_regions(damage.residual_cells(cells, ["wall_id"]), ["wall_id"])

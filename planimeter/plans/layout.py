@@ -29,12 +29,12 @@ def first_in_cells(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT l_suppkey AS capture, l_orderkey, l_linenumber, l_quantity / 20.0 AS y, l_partkey % 5 < l_suppkey % 5 AS v FROM lineitem WHERE l_orderkey % (1 + l_suppkey % 4) = 0),
+WITH p AS (SELECT l_suppkey * 10 + l_orderkey % (1 + l_suppkey % 4) AS capture, l_orderkey, l_linenumber, l_quantity / 20.0 AS y, l_partkey % 5 < l_suppkey % 5 AS v FROM lineitem),
 k AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (v AND y > 0.8 AND y < 1.9) OVER w AS nb, count(*) FILTER (v) OVER w AS nv, count(*) FILTER (y > 0.8 AND y < 1.8) OVER w AS nm FROM p WINDOW w AS (PARTITION BY capture))
 SELECT capture, l_orderkey, l_linenumber FROM k WHERE n >= 200 AND CASE WHEN nb > 400 THEN v AND y > 0.8 AND y < 1.9 WHEN nv >= 150 THEN v ELSE nm >= 80 AND y > 0.8 AND y < 1.8 END""")
 def wall_band(spark, sf_dir):
-    l = _t(spark, sf_dir, "lineitem").where("l_orderkey % (1 + l_suppkey % 4) = 0")
-    p = l.select(c("l_suppkey").alias("capture"), "l_orderkey", "l_linenumber", (c("l_quantity") / 20.0).alias("y"), (c("l_partkey") % 5 < c("l_suppkey") % 5).alias("vertical"))
+    capture = c("l_suppkey") * 10 + c("l_orderkey") % (1 + c("l_suppkey") % 4)
+    p = _t(spark, sf_dir, "lineitem").select(capture.alias("capture"), "l_orderkey", "l_linenumber", (c("l_quantity") / 20.0).alias("y"), (c("l_partkey") % 5 < c("l_suppkey") % 5).alias("vertical"))
     return layout.wall_band(p, ["capture"]).select("capture", "l_orderkey", "l_linenumber")
 
 
@@ -132,17 +132,17 @@ def plan_states(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT s_suppkey AS capture, s_nationkey % 4 AS n_rooms, 2 AS n_truth, s_suppkey % 3 * 0.1 AS overlap, s_nationkey + 10.0 AS foot, CASE WHEN s_suppkey % 8 > 0 THEN s_nationkey + 10.5 END AS foot_t, CASE WHEN s_suppkey % 5 > 0 THEN 'Tape' ELSE 'faro' END AS source, s_suppkey % 7 = 0 AS synthetic FROM supplier),
-d AS (SELECT o_custkey AS capture, count(*) FILTER (o_orderstatus = 'F') AS a, count(*) FILTER (o_orderstatus <> 'F') AS b FROM orders WHERE o_custkey % 4 = 0 GROUP BY 1),
+WITH p AS (SELECT o_orderkey AS capture, o_custkey % 4 AS n_rooms, 2 AS n_truth, o_orderkey % 3 * 0.1 AS overlap, o_custkey % 25 + 10.0 AS foot, CASE WHEN o_orderkey % 8 > 0 THEN o_custkey % 25 + 10.5 END AS foot_t, CASE WHEN o_custkey % 5 > 0 THEN 'Tape' ELSE 'faro' END AS source, o_orderkey % 7 = 0 AS synthetic FROM orders),
+d AS (SELECT l_orderkey AS capture, count(*) FILTER (l_returnflag = 'R') AS a, count(*) FILTER (l_returnflag = 'A') AS b FROM lineitem GROUP BY 1),
 j AS (SELECT p.*, coalesce(a, 0) AS n_missing, coalesce(b, 0) AS n_false, abs(foot - foot_t) / abs(foot_t) AS e FROM p LEFT JOIN d USING (capture))
 SELECT capture, n_missing, n_false, round(100 * e, 4) AS footprint_error_percent, CASE WHEN source = 'faro' OR synthetic OR e IS NULL THEN 'BLOCKED' WHEN n_rooms = n_truth AND n_missing = 0 AND n_false = 0 AND overlap <= 0.15 AND e <= 0.08 THEN 'PASS' ELSE 'FAIL' END AS status FROM j""")
 def stitch_gate(spark, sf_dir):
-    k, n = c("s_suppkey"), c("s_nationkey")
-    p = _t(spark, sf_dir, "supplier").select(
-        k.alias("capture"), (n % 4).alias("n_rooms"), F.lit(2).alias("n_rooms_truth"), (k % 3 * 0.1).alias("overlap"), F.lit(0.15).alias("overlap_max"), (n + 10.0).alias("footprint"),
-        F.when(k % 8 > 0, n + 10.5).alias("footprint_truth"), F.when(k % 5 > 0, "Tape").otherwise("faro").alias("source"), (k % 7 == 0).alias("synthetic"),
+    k, n = c("o_orderkey"), c("o_custkey")
+    p = _t(spark, sf_dir, "orders").select(
+        k.alias("capture"), (n % 4).alias("n_rooms"), F.lit(2).alias("n_rooms_truth"), (k % 3 * 0.1).alias("overlap"), F.lit(0.15).alias("overlap_max"), (n % 25 + 10.0).alias("footprint"),
+        F.when(k % 8 > 0, n % 25 + 10.5).alias("footprint_truth"), F.when(n % 5 > 0, "Tape").otherwise("faro").alias("source"), (k % 7 == 0).alias("synthetic"),
     )
-    d = _t(spark, sf_dir, "orders").where("o_custkey % 4 = 0").select(c("o_custkey").alias("capture"), F.when(c("o_orderstatus") == "F", "missed").otherwise("phantom").alias("status"))
+    d = _t(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("capture"), F.when(c("l_returnflag") == "R", "missed").when(c("l_returnflag") == "A", "phantom").alias("status"))
     return layout.stitch_gate(p, d, ["capture"])
 
 

@@ -40,14 +40,19 @@ def video_gate(plans: DataFrame, walls: DataFrame, keys: list[str], limit: float
 
 def damage_gate(matched: DataFrame, keys: list[str]) -> DataFrame:
     """status from rank_match() rows with source and synthetic: no truth is missed and nothing is claimed beyond it.
-    Without truth, with a source that is not physical, or on a synthetic scene: BLOCKED."""
+    Without truth, with a source that is not physical, or on a synthetic scene: BLOCKED. mean_extent_error_m2 is that of
+    matched rows with both extents (truth, predicted), where there are such columns."""
     miss, claim = F.col("predicted_id").isNull(), F.col("truth_id").isNull()
     g = matched.groupBy(*keys).agg(
         F.count("truth_id").alias("n_truth"), F.count_if(miss).alias("n_missed"), F.count_if(claim).alias("n_false"),
         F.bool_and(eligible_source(F.col("source")) & ~F.coalesce("synthetic", F.lit(False)) | claim).alias("eligible"),
     )
     passed = F.when(F.col("n_truth") > 0, (F.col("n_missed") == 0) & (F.col("n_false") == 0))
-    return g.select(*keys, "n_truth", "n_missed", "n_false", gate_status(F.col("eligible"), passed).alias("status"))
+    out = g.select(*keys, "n_truth", "n_missed", "n_false", gate_status(F.col("eligible"), passed).alias("status"))
+    if not {"truth", "predicted"} <= set(matched.columns):
+        return out
+    errors = matched.groupBy(*keys).agg(F.round(F.avg(F.abs(F.col("predicted") - F.col("truth"))), 4).alias("mean_extent_error_m2"))
+    return out.join(errors, keys)
 
 
 def repeat_rows(pairs: DataFrame, abs_limit: float = 0.01, rel_limit: float = 0.005) -> DataFrame:

@@ -69,7 +69,7 @@ def _profiles(spark, sf_dir) -> DataFrame:
     return p.where((c("along") < c("a") + 0.005) | (c("along") > c("a") + c("w") - 0.005)).withColumn("frame", F.lit(0))
 
 
-@query("SELECT c_custkey AS wall, 'door' AS kind, round(0.75 + c_custkey % 8 * 0.05, 2) AS width, round(1.2 + c_custkey % 8 * 0.1, 1) AS along0, 'wall_termination' AS method FROM customer")
+@query("SELECT c_custkey AS wall, 'door' AS kind, round((0.75 + c_custkey % 8 * 0.05)::DOUBLE, 2) AS width, round((1.2 + c_custkey % 8 * 0.1)::DOUBLE, 1) AS along0, 'wall_termination' AS method FROM customer")
 def wall_openings(spark, sf_dir):
     p = _profiles(spark, sf_dir).withColumn("height", F.lit(1.0))
     spans = p.select("wall").distinct().withColumns({"a0": F.lit(0.0), "a1": F.lit(4.0), "abs_floor": F.lit(0.012)})
@@ -78,7 +78,7 @@ def wall_openings(spark, sf_dir):
     return o.select("wall", "kind", F.round(c("width") + 0.01, 2).alias("width"), F.round("along0", 1).alias("along0"), "method")
 
 
-@query("SELECT c_custkey AS wall, 1::BIGINT AS frames, round(0.75 + c_custkey % 8 * 0.05, 2) AS width, 'wall_termination' AS method, 0.8::DOUBLE AS confidence FROM customer")
+@query("SELECT c_custkey AS wall, 1::BIGINT AS frames, round((0.75 + c_custkey % 8 * 0.05)::DOUBLE, 2) AS width, 'wall_termination' AS method, 0.8::DOUBLE AS confidence FROM customer")
 def frame_openings(spark, sf_dir):
     o = openings.frame_openings(_profiles(spark, sf_dir).select("wall", "frame", "along"), ["wall"])
     return o.select("wall", "frames", F.round(c("width") + 0.01, 2).alias("width"), "method", "confidence")

@@ -5,7 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from planimeter.operators import matching
+from planimeter.operators import matching, rooms, scoring
+from planimeter.streaming.voxels import thin_stream
 
 
 def test_greedy_lengths(spark):
@@ -65,3 +66,29 @@ def test_candidate_cells(spark):
     assert got == [(1, 0.05, 2.95, 0.05, 2.95, 1)]
     crowd = spark.range(20_000).select(F.lit(1).alias("k"), F.lit(1.0).alias("x"), F.lit(1.0).alias("z"))
     assert matching.candidate_cells(ldf, crowd, ["k"]).count() == 0
+
+
+def test_summary_counts_decided_rows(spark):
+    rows = [("a", "matched", 0.01, True), ("a", "matched", 0.05, False), ("a", "missed", None, None), ("a", "phantom", None, False), ("b", "missed", None, None)]
+    df = spark.createDataFrame(rows, "k string, status string, abs_error double, ok boolean")
+    got = {r.k: tuple(r)[1:] for r in scoring.summary(df, ["k"], F.col("ok")).collect()}
+    assert got == {"a": (4, 1, 0.333333, 1, 1, 0.05), "b": (1, 0, None, 1, 0, None)}
+
+
+def test_reachable_rooms_by_links(spark):
+    rooms_ = spark.createDataFrame([(k, r) for k in "xy" for r in "abcdef"], "capture_id string, room_id string")
+    links = spark.createDataFrame([("x", "b", "a"), ("x", "c", "d"), ("x", "d", "b"), ("x", "e", "ghost"), ("y", "f", "e"), ("y", "f", "f")], "capture_id string, room_a string, room_b string")
+    got = {(r.capture_id, r.room_id): r.component for r in rooms.reachable(links, rooms_).collect()}
+    assert got == {("x", r): c for r, c in zip("abcdef", "aaaaef")} | {("y", r): c for r, c in zip("abcdef", "abcdee")}
+
+
+def test_stream_thins_by_voxel(spark, tmp_path):
+    rows = [("c", f"2026-01-01 00:0{i % 3}:00", 0.02 * (i % 7), 0.0, 0.01 * (i % 5)) for i in range(200)]
+    df = spark.createDataFrame(rows, "capture_id string, ts string, x double, y double, z double").withColumn("ts", F.col("ts").cast("timestamp"))
+    df.repartition(3).write.parquet(f"{tmp_path}/in")
+    live = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = thin_stream(live, 0.025).writeStream.format("memory").queryName("thinned").outputMode("append").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r.kx, r.kz) for r in spark.table("thinned").collect()}
+    want = {(int(x / 0.025), int(z / 0.025)) for _, _, x, _, z in rows}
+    assert got == want and spark.table("thinned").count() == len(want)

@@ -297,3 +297,35 @@ def test_fix_reports(spark):
     b = spark.createDataFrame([("a", doc([3.9, 3.0])), ("c", doc([2.0]))], "capture_id string, document string")
     got = {r.capture_id: (r.before, r.after, r.delta, r.missing) for r in documents.fix_reports(a, b).collect()}
     assert got == {"a": (4.0, 3.9, -0.1, []), "b": (1.0, None, None, ["after"]), "c": (None, 2.0, None, ["before"])}
+
+
+def test_truth_by_kind(spark):
+    doc = {"property_id": "p", "measurements": [{"kind": "ceiling", "value": 250, "unit": "cm", "predicted_m": 2.51, "repeat_spread_m": 0.001}, {"kind": "wall", "wall_id": "w", "value_m": 4.0, "predicted_m": 4.2}, {"kind": "area", "value_m": 12.0, "predicted_m": 12.1}], "openings": [{"opening_id": "o", "width_m": 0.8}]}
+    docs = spark.createDataFrame([("a", json.dumps(doc)), ("b", json.dumps({"measurements": []})), ("c", json.dumps(doc))], "key string, doc string")
+    rows = stored(manifest.ground_truth_rows(docs))
+    first = rows.where("key = 'a' and ord = 0").first()
+    assert (first.value_m, first.unit, first.measurement_type) == (2.5, "m", "ceiling_height")
+    found = spark.createDataFrame([("a", 0, "o", None, None, 0.815), ("c", 0, "o", None, None, 0.9)], "key string, ord int, id string, wall string, room string, width double")
+    sources = spark.createDataFrame([("a", "tape"), ("b", "tape"), ("c", "tape")], "key string, source string")
+    got = {(r.key, r.gate): r.status for r in manifest.compared_by_kind(rows, found, sources).collect()}
+    assert got == {("a", "openings"): "PASS", ("a", "ceiling"): "PASS", ("a", "photo"): "PASS", ("b", "openings"): "BLOCKED", ("b", "ceiling"): "BLOCKED", ("b", "photo"): "BLOCKED", ("c", "openings"): "FAIL", ("c", "ceiling"): "PASS", ("c", "photo"): "PASS"}
+
+
+def test_specs_and_cameras(spark):
+    from planimeter.operators.align import frame_intrinsics
+    from planimeter.sources.captures import wall_specs
+
+    docs = spark.createDataFrame([("c", "a", '{"synthetic_fixture": true, "x0": 0, "z0": 1, "x1": 2, "z1": 3}'), ("c", "b", '{"x0": 0}')], "capture_id string, room_id string, doc string")
+    assert [tuple(r) for r in wall_specs(docs).collect()] == [("c", "a", 0.0, 1.0, 2.0, 3.0, 2.5)]
+    own = "struct(7.0D as fx, 7.0D as fy, 1.0D as cx, 2.0D as cy)"
+    rows = spark.sql(f"select 10.0D as fx, 10.0D as fy, 4.0D as cx, 3.0D as cy, {own} as own union all select 0.5D, 9.0D, 1.0D, 1.0D, {own} union all select 0.5D, 9.0D, 1.0D, 1.0D, null")
+    k = frame_intrinsics(*[F.col(n) for n in ("fx", "fy", "cx", "cy", "own")], F.lit(0.5), F.lit(0.25), F.lit(100), F.lit(80))
+    assert [tuple(r.k) for r in rows.select(k.alias("k")).collect()] == [(5.0, 2.5, 2.0, 0.75), (7.0, 7.0, 1.0, 2.0), (85.0, 85.0, 50.0, 40.0)]
+
+
+def test_mean_extent_errors(spark):
+    from planimeter.operators import assess
+
+    rows = [("a", 1, 1, 0.3, 0.25), ("a", 2, 2, 0.1, 0.2), ("a", 3, None, 0.4, None), ("b", 1, 1, None, 0.1)]
+    df = spark.createDataFrame([(*r, "tape", False) for r in rows], "k string, truth_id int, predicted_id int, truth double, predicted double, source string, synthetic boolean")
+    assert {r.k: (r.status, r.mean_extent_error_m2) for r in assess.damage_gate(df, ["k"]).collect()} == {"a": ("FAIL", 0.075), "b": ("PASS", None)}

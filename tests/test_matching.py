@@ -63,7 +63,7 @@ def test_candidate_cells(spark):
     ldf = spark.createDataFrame(lines, "k int, axis string, pos double, face_lo double, face_hi double, runs array<struct<a:double,b:double>>")
     pts = spark.createDataFrame([(1, 1.0, 1.0), (1, 0.1, 1.0), (2, 1.0, 1.0)], "k int, x double, z double")
     got = [tuple(r) for r in matching.candidate_cells(ldf, pts, ["k"]).collect()]
-    assert got == [(1, 0.05, 2.95, 0.05, 2.95, 1)]
+    assert got == [(1, 0.05, 2.95, 0.05, 2.95, 0.0, 3.0, 0.0, 3.0, 1)]
     crowd = spark.range(20_000).select(F.lit(1).alias("k"), F.lit(1.0).alias("x"), F.lit(1.0).alias("z"))
     assert matching.candidate_cells(ldf, crowd, ["k"]).count() == 0
 

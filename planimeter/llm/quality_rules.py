@@ -229,23 +229,33 @@ def reason(rules: list[Rule]) -> Column:
     return out
 
 
-def _labelled(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+def _known(labels: DataFrame, id_col: str, label_col: str, sample: int) -> DataFrame:
+    """doc_id and bad of at most `sample` labels, those with the least hashes of their keys."""
     known = labels.select(F.col(id_col).alias("doc_id"), (F.col(label_col) == 0).alias("bad")).where("doc_id is not null and bad is not null")
-    return stats.join(known, "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(3)).cast("int"))
+    return materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id", "bad").limit(sample))
 
 
-def quality_rules(df: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="quality", **learn) -> DataFrame:
+def _labelled(stats: DataFrame, known: DataFrame) -> DataFrame:
+    joined = stats.join(F.broadcast(known), "doc_id")  # bounded by sample
+    return materialize(joined.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(3)).cast("int")))
+
+
+#: Labelled rows that rules are learned from, at most.
+SAMPLE = 50_000
+
+
+def quality_rules(df: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="quality", sample: int = SAMPLE, **learn) -> DataFrame:
     """One row a document: doc_id, the statistics, base_failed, kept, rule (number of the rule that fired), reason (its text).
 
     The list itself is the attribute `rules` of the frame returned.
 
     base_failed: fewer than 20 words, or over 30 % of them in repeated 8-word windows. Null and empty
     texts have no words and fail. Rows with null keys are judged like any other but are never labelled;
-    repeated rows give repeated results. Empty tables give no rows; no labels, no rules. Other columns
+    repeated rows give repeated results. Rules are learned from at most `sample` labels. Empty tables give no rows; no labels, no rules. Other columns
     are not read."""
     stats = df.select(F.col(id_col).alias("doc_id"), document_stats(F.col(text_col)).alias("s"))
     stats = materialize(_gridded(stats.select("doc_id", *_flat())))
-    rules = learn_rules(materialize(_labelled(stats, labels, id_col, label_col)), **learn)
+    rules = learn_rules(_labelled(stats, _known(labels, id_col, label_col, sample)), **learn)
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
     out = _judged(stats, rules).select(*columns, reason(rules).alias("reason"))
     out.rules = rules
@@ -258,13 +268,14 @@ def _judged(stats: DataFrame, rules: list[Rule]) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
-def kept_documents(df: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="quality", **learn) -> DataFrame:
-    """The rows of df that quality_rules() keeps, with df's columns."""
-    known = labels.select(F.col(id_col).alias("doc_id"), (F.col(label_col) == 0).alias("bad")).where("doc_id is not null and bad is not null")
-    # Texts without a label go before their statistics are computed, not after.
-    marked = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(known.select("doc_id").distinct(), "doc_id", "left_semi")
+def kept_documents(df: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="quality", sample: int = SAMPLE, **learn) -> DataFrame:
+    """The rows of df that quality_rules() keeps, with df's columns.
+
+    Statistics for learning are computed of the labelled sample only, which is found by a bounded broadcast: no text is
+    shuffled or written, and rows are judged in one pass."""
+    known = _known(labels, id_col, label_col, sample)
+    marked = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known.select("doc_id").distinct()), "doc_id", "left_semi")
     stats = marked.select("doc_id", _once(document_stats(F.col("text"))).alias("s"))
-    stats = materialize(_gridded(stats.select("doc_id", *_flat())))
-    rules = learn_rules(materialize(_labelled(stats, labels, id_col, label_col)), **learn)
+    rules = learn_rules(_labelled(_gridded(stats.select("doc_id", *_flat())), known), **learn)
     rows = df.select(F.struct("*").alias("row"), _once(document_stats(F.col(text_col))).alias("s"))
     return _judged(_gridded(rows.select("row", *_flat())), rules).where("kept").select("row.*")

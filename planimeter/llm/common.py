@@ -28,6 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Hand Python at most `rows` rows at a time from here on: whole texts make batches of the usual size large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def trim() -> None:
     """Give freed memory back to the system: a Python worker outlives its task and keeps what it does not return."""
     pa.default_memory_pool().release_unused()

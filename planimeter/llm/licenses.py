@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planimeter.llm.common import small_batches
+
 # Licence notices by label.
 TEMPLATES = (
     ("mit", "Released under the MIT License."),
@@ -201,5 +203,6 @@ def license_scan(df: DataFrame, *, id_col="doc_id", text_col="text") -> DataFram
     no words, empty labels, null places and score 0. Of chains covering equally many words the earliest
     counts. Rows are scanned one by one, so keys may be null or repeat; an empty table gives no rows and
     other columns are not read."""
+    small_batches(df.sparkSession)
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string"
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scan, schema)

@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from planimeter.llm.common import trim
+from planimeter.llm.common import small_batches, trim
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Shift of the Zipf-Mandelbrot rule; characters of one array pass.
-SHIFT, PASS_CHARS = 1000.0, 1_000_000
+SHIFT, PASS_CHARS = 1000.0, 400_000
 
 HASH = np.uint64(0x9E3779B97F4A7C15)
 
@@ -363,6 +363,7 @@ def encode_pieces(df: DataFrame, *, id_col="doc_id", text_col="text", model=MODE
     Null and empty texts have no pieces (a null text therefore decodes as empty). Rows with a null key are
     seeded by their text; rows that repeat a key and a text get the same pieces. An empty table gives no
     rows; other columns are not read. model is a path each executor can open."""
+    small_batches(df.sparkSession)
     schema = "doc_id long, ids array<int>, n_pieces long, lossless boolean"
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_encode(model, sharpness, seed), schema)
 

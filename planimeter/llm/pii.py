@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planimeter.llm.common import small_batches, trim
+
 # The kinds in their order and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
 # Of the e-mail pattern the part from the at sign on; its local part is found backwards, which is linear.
@@ -410,6 +412,7 @@ def pii_spans(df: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     A null or empty text has no spans. Keys may be null or repeat: each row is scanned by itself. Spans
     of one kind never repeat; ties in score keep the shorter reading of what comes first. An empty table
     gives no rows; other columns are not read."""
+    small_batches(df.sparkSession)
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_spans long"
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scan(weights()), schema)
 
@@ -419,6 +422,7 @@ def redacted(df: DataFrame, *, text_col="text", chars_col="n_chars") -> DataFram
 
     Null texts stay null, and so does their length."""
     w = weights()
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -431,5 +435,6 @@ def redacted(df: DataFrame, *, text_col="text", chars_col="n_chars") -> DataFram
                 kind = batch.schema.field(k)
                 batch = batch.set_column(k, kind, pa.array([None if t is None else len(t) for t in clean], kind.type))
             yield batch
+            trim()
 
     return df.mapInArrow(run, df.schema)

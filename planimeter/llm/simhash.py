@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planimeter.llm.common import by_group, connected_components, materialize, release
+from planimeter.llm.common import by_group, connected_components, materialize, release, small_batches, trim
 
 #: Members of a list that one task searches against as many others.
 LIST_BLOCK = 512
@@ -249,6 +249,7 @@ def simhash_components(
     texts have the zero fingerprint and link like any other. Documents of the same fingerprint are one
     node, so repeated rows and repeated keys are kept as they are. Keys must be whole numbers. An empty
     table gives no rows; other columns are not read."""
+    small_batches(df.sparkSession)
     bare = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = materialize(bare.mapInArrow(_fingerprints(shingle, words), "doc_id long, fp binary"))
     nodes = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -282,6 +283,7 @@ def _marks(shingle: int, words: int):
             columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names) if n != "__text"}
             columns |= {"__node": pa.array(nodes, pa.binary()), "__fp": pa.array(fps, pa.binary())}
             yield pa.record_batch(columns | {"__keys": pa.ListArray.from_arrays(at, pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))})
+            trim()
 
     return run
 
@@ -304,6 +306,7 @@ def deduplicated(df: DataFrame, *, id_col="doc_id", text_col="text", shingle=5,
     (of 512; at 0.8 sets of ten or more differ in 78 on average with a deviation of 8, the worst case of 4 of 5
     in 96 with 9). Rows are judged one by one, whatever their keys repeat: null keys come last within a
     component, ties go by the text's hash. Blank texts are copies of each other."""
+    small_batches(df.sparkSession)
     schema = "__key long, __hash long, __row long, __node binary, __fp binary, __keys array<long>"
     # Row numbers must not change between steps: rows are numbered once, with their texts.
     whole = materialize(df.withColumn("__row", F.monotonically_increasing_id()))

@@ -1,7 +1,7 @@
 """Quality classifier: per-document perplexity under interpolated modified Kneser-Ney models.
 
 A model a language is trained on trusted text. Its symbols are the bytes of the text, all 256 by themselves, so
-that accented letters and any script are told apart; an n-gram of six is a number under 2**48. Counts of the
+that accented letters and any script are told apart; an n-gram of five is a number under 2**40. Counts of the
 highest order come from all trusted documents but every HELD_OUTth, lower orders count distinct continuations,
 and each order has three discounts from its counts of counts.
 
@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 from planimeter.llm.blocks import count_blocks, pack, unpack
 from planimeter.llm.common import materialize, release, trim
 
-ORDER, BITS = 6, 8
+ORDER, BITS = 5, 8
 SYMBOLS = 1 << BITS
 #: Of so many trusted documents one is held out; bytes of text whose n-grams are taken at a time.
 HELD_OUT, GRAM_BYTES = 5, 1_000_000
 
 
 def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """N-grams of all texts end to end, one for each byte with the five bytes before it (newlines before the
+    """N-grams of all texts end to end, one for each byte with the four bytes before it (newlines before the
     first); and where each text's begin."""
     sizes = np.array([len(t) for t in texts], np.int64)
     bounds = np.concatenate([[0], np.cumsum(sizes)])

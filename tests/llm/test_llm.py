@@ -203,7 +203,7 @@ def test_merge_gives_exact_common_prefixes(length):
     assert lcp.tolist() == [-1, *common]
 
 
-def kneser_ney_by_hand(texts, asked, order=6):
+def kneser_ney_by_hand(texts, asked, order=perplexity.ORDER):
     """Interpolated modified Kneser-Ney over bytes, plainly: log-probability of each n-gram asked."""
     grams = lambda t: [(b"\n" * (order - 1) + t)[i : i + order] for i in range(len(t))]
     counts = Counter(g for t in texts for g in grams(t))
@@ -243,10 +243,10 @@ def test_perplexity_is_that_of_plain_kneser_ney(spark, docs, rows, empty):
     for lang in {r[2] for r in rows}:
         train = [t.encode() for i, t, x, _ in rows if x == lang and i in good - held]
         own = [(i, (t or "").encode()) for i, t, x, _ in rows if x == lang]
-        lead = b"\n" * 5
-        logp = kneser_ney_by_hand(train, {(lead + t)[k : k + 6] for _, t in own for k in range(len(t))})
+        lead = b"\n" * (perplexity.ORDER - 1)
+        logp = kneser_ney_by_hand(train, {(lead + t)[k : k + perplexity.ORDER] for _, t in own for k in range(len(t))})
         for i, t in own:
-            p = math.exp(-sum(logp[(lead + t)[k : k + 6]] for k in range(len(t))) / len(t)) if t else None
+            p = math.exp(-sum(logp[(lead + t)[k : k + perplexity.ORDER]] for k in range(len(t))) / len(t)) if t else None
             want[i, t] = p
             if i in good and p is not None:
                 by_lang[lang].append((i in held, p))
@@ -276,7 +276,7 @@ def test_languages_null_and_empty_are_two(spark):
 
 def test_kneser_ney_sums_to_one(spark):
     rng = random.Random(4)
-    stem = sum(b << 8 * k for k, b in enumerate((3, 2, 1, 9, 9), 1))
+    stem = sum(b << 8 * k for k, b in enumerate((3, 2, 1, 9), 1))
     counts = spark.createDataFrame([("en", stem + s, rng.randint(1, 6)) for s in range(20)] + [("en", s * 256 + 5, 1) for s in range(9)], "lang string, g long, c long")
     asked = spark.createDataFrame([("en", stem + s) for s in range(256)], "lang string, g long")
     total = sum(math.exp(r.logp) for r in perplexity.log_probabilities(asked, counts).collect())

@@ -10,7 +10,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planimeter.functions import arrays
 from planimeter.functions.expr import TIER_FLOORS, measurement, overlap_length, shoelace, turned
 from planimeter.functions.shared import stored
 from planimeter.operators import assess, layout, lines, matching, openings, points, rooms
@@ -226,10 +225,7 @@ def stitched(placed: DataFrame, most: float = 0.05) -> tuple[DataFrame, DataFram
     Any overlap over 0.05 m2 rejects all links of its capture. A capture is connected if no room overlaps and links join
     all; one without rooms has no row. Rooms of a capture are some tens."""
     c = F.col
-    a = placed.select("capture_id", c("room_id").alias("room_a"), c("polygon").alias("_a"))
-    b = placed.select("capture_id", c("room_id").alias("room_b"), c("polygon").alias("_b"))
-    pairs = a.join(b, "capture_id").where("room_a < room_b")
-    over = pairs.withColumn("area_m2", shoelace(arrays.clipped(c("_a"), c("_b")))).where(c("area_m2") > most).select("capture_id", "room_a", "room_b", "area_m2")
+    over = rooms.convex_overlaps(placed, most)
     clear = rooms.shared_edges(placed).join(over.select("capture_id").distinct(), "capture_id", "left_anti")
     parts = rooms.reachable(clear, placed).groupBy("capture_id").agg(F.count_distinct("component").alias("_parts"))
     total = over.groupBy("capture_id").agg(F.sum("area_m2").alias("_sum"))

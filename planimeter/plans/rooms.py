@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planimeter.functions import arrays
-from planimeter.operators import align, damage, documents, evaluate, manifest, openings, plan
+from planimeter.operators import align, damage, documents, evaluate, manifest, openings, plan, rooms
 from planimeter.plans import fixtures
 from planimeter.plans.harness import _t, query
 from planimeter.sources import captures
@@ -44,11 +44,8 @@ FROM b a JOIN b ON a.k = b.k AND a.id < b.id WHERE least(a.x, b.x) + 1.5 > great
 def convex_overlap(spark, sf_dir):
     at = lambda dx, dz: F.struct((c("x") + dx).alias("x"), (c("z") + dz).alias("z"))
     b = _t(spark, sf_dir, "customer").select(c("c_nationkey").alias("capture_id"), c("c_custkey").alias("id"), (c("c_custkey") % 97 / 10.0).alias("x"), (c("c_custkey") % 89 / 10.0).alias("z"))
-    b = b.select("capture_id", "id", F.array(at(0.0, 0.0), at(1.5, 0.0), at(1.5, 1.5), at(0.0, 1.5)).alias("p"))
-    pairs = b.select("capture_id", c("id").alias("room_a"), c("p").alias("a")).join(b.select("capture_id", c("id").alias("room_b"), c("p").alias("b")), "capture_id").where("room_a < room_b")
-    from planimeter.functions.expr import shoelace
-
-    return pairs.select("capture_id", "room_a", "room_b", F.round(shoelace(arrays.clipped(c("a"), c("b"))), 4).alias("area_m2")).where("area_m2 > 0.0001")
+    b = b.select("capture_id", c("id").alias("room_id"), F.array(at(0.0, 0.0), at(1.5, 0.0), at(1.5, 1.5), at(0.0, 1.5)).alias("polygon"))
+    return rooms.convex_overlaps(b, 0.0001).withColumn("area_m2", F.round("area_m2", 4))
 
 
 @query("""
@@ -122,7 +119,7 @@ def evaluate_cases(spark, sf_dir):
 
 @query("""
 WITH t AS (SELECT l_suppkey AS k, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS id, CASE WHEN l_partkey % 31 > 0 THEN l_quantity / 50.0 END AS w FROM lineitem WHERE l_returnflag = 'A'),
-p AS (SELECT l_suppkey AS k, CASE WHEN l_partkey % 7 = 0 THEN 'x' ELSE '' END || l_orderkey || '-' || l_linenumber || '-' || l_partkey AS id, l_quantity / 50.0 + l_partkey % 5 / 100.0 AS w FROM lineitem WHERE l_returnflag <> 'R'),
+p AS (SELECT l_suppkey AS k, CASE WHEN l_partkey % 7 = 0 THEN 'x' ELSE '' END || l_orderkey || '-' || l_linenumber || '-' || l_partkey AS id, l_quantity / 50.0 + l_partkey % 5 / 100.0 AS w FROM lineitem),
 m AS (SELECT coalesce(t.k, p.k) AS k, CASE WHEN t.id IS NULL THEN 'phantom' WHEN p.id IS NULL OR t.w IS NULL THEN 'miss' ELSE 'true_positive' END AS kind, abs(p.w - t.w) AS e FROM t FULL JOIN p ON t.k = p.k AND t.id = p.id),
 g AS (SELECT k, count(*) AS trials, count(*) FILTER (kind = 'true_positive' AND e <= 0.02) AS hit, count(*) FILTER (kind = 'true_positive') AS matched, count(*) FILTER (kind = 'miss') AS missed, count(*) FILTER (kind = 'phantom') AS phantoms FROM m GROUP BY 1)
 SELECT k AS key, trials, hit AS within_2cm, matched, missed, phantoms, CASE WHEN k % 3 = 0 THEN 'BLOCKED' WHEN hit / trials::DOUBLE >= 0.85 THEN 'PASS' ELSE 'FAIL' END AS status FROM g""")
@@ -131,7 +128,7 @@ def openings_gate(spark, sf_dir):
     none = F.lit(None).cast("string")
     shape = [c("l_suppkey").alias("key"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("ord"), none.alias("wall"), none.alias("room")]
     t = l.where("l_returnflag = 'A'").select(*shape, "id", F.when(c("l_partkey") % 31 > 0, c("l_quantity") / 50.0).alias("width"))
-    p = l.where("l_returnflag <> 'R'").select(*shape, F.when(c("l_partkey") % 7 == 0, F.concat(F.lit("x"), "id")).otherwise(c("id")).alias("id"), (c("l_quantity") / 50.0 + c("l_partkey") % 5 / 100.0).alias("width"))
+    p = l.select(*shape, F.when(c("l_partkey") % 7 == 0, F.concat(F.lit("x"), "id")).otherwise(c("id")).alias("id"), (c("l_quantity") / 50.0 + c("l_partkey") % 5 / 100.0).alias("width"))
     sources = l.select(c("l_suppkey").alias("key")).distinct().withColumn("source", F.when(c("key") % 3 == 0, "faro").otherwise("Tape"))
     return evaluate.openings_gate(evaluate.score_openings(t, p, ["key"]), sources, ["key"]).select("key", "trials", "within_2cm", "matched", "missed", "phantoms", "status")
 

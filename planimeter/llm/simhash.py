@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from planimeter.llm.common import by_group, connected_components, materialize, release, small_batches, trim
 
-#: Members of a list that one task searches against as many others.
-LIST_BLOCK = 512
+#: Members of a list that one task searches against as many others, and bytes of their sets on average.
+LIST_BLOCK, SET_BYTES = 512, 16_000_000
 #: Near-copies have four of five shingles in common, or more.
 SIMILAR = (4, 5)
 #: Lists of deduplicated(): keys a set has, and least hashes in a key; their functions are fixed.
@@ -198,8 +198,8 @@ def _bytes_of(rows: list[bytes]) -> np.ndarray:
 
 def _links(lists: DataFrame, near_of: Callable[[list[bytes], list[bytes]], Near], block: int) -> DataFrame:
     """Edges u, v that connect the links within each list; lists: key (binary), fp, value."""
-    sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).alias("bytes")).where("n > 1")
+    parts = F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / F.lit(block)), F.ceil(F.col("bytes") / F.lit(SET_BYTES)))).cast("int")
     mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     dealt = (
         lists.join(sizes, "key")

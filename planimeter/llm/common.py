@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -28,6 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Have files of shuffles that no plan refers to any more removed now; Spark does so when its driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Hand Python at most `rows` rows at a time from here on: whole texts make batches of the usual size large."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -20,12 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planimeter.llm.blocks import count_blocks, pack, unpack
-from planimeter.llm.common import materialize, release, trim
+from planimeter.llm.common import drop_shuffles, materialize, release, trim
 
 ORDER, BITS = 5, 8
 SYMBOLS = 1 << BITS
 #: Of so many trusted documents one is held out; bytes of text whose n-grams are taken at a time.
 HELD_OUT, GRAM_BYTES = 5, 1_000_000
+#: Bytes of text in a block: the larger, the fewer times an n-gram is asked for.
+BLOCK_BYTES = 24_000_000
 
 
 def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +123,7 @@ def _order(counts: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     # Where a count of counts is missing the usual constants stand in; a discount lies in [0, its count].
     discount = lambda i, d: F.least(F.greatest(F.coalesce(F.lit(float(i)) - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")), F.lit(d)), F.lit(0.1 * i)), F.lit(0.9 * i))
     discounts = counted.select(F.col("lang").alias("d_lang"), discount(1, 0.5).alias("d1"), discount(2, 0.75).alias("d2"), discount(3, 1.2).alias("d3"))
-    rows = counts.join(discounts, F.col("lang") == F.col("d_lang"))
+    rows = counts.join(F.broadcast(discounts), F.col("lang") == F.col("d_lang"))  # a row a language
     d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
     weighed = rows.select("lang", "g", "c", (F.col("c") - d).alias("w"), d.alias("d"))
     context = weighed.groupBy("lang", F.shiftright("g", BITS).alias("h")).agg(F.sum("c").alias("total"), F.sum("d").alias("kept_back"))
@@ -153,15 +155,18 @@ def perplexities(df: DataFrame, trusted: DataFrame, *, id_col="doc_id", text_col
 
     Common n-grams are asked for by all blocks; the join with their probabilities is one that AQE can split."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    n = count_blocks(docs)
+    n = count_blocks(docs, BLOCK_BYTES)
     deal = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     block = F.when(F.col("doc_id").isNull(), deal(F.col("text"))).otherwise(deal(F.col("doc_id")))
     packed = pack(docs.withColumn("block", block), n)
     good = trusted.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("block", deal(F.col("doc_id")))
     requests = packed.groupBy("block").cogroup(good.repartition(n, "block").groupBy("block")).applyInArrow(_requests, "block int, lang string, g long, n long")
     requests = materialize(requests)
+    drop_shuffles(df.sparkSession)  # the texts as they were dealt for the requests
     counts = materialize(requests.where("n > 0").groupBy("lang", "g").agg(F.sum("n").alias("c")))
-    logp = log_probabilities(requests.select("lang", "g").distinct(), counts)
+    logp = materialize(log_probabilities(requests.select("lang", "g").distinct(), counts))
+    release(counts)
+    drop_shuffles(df.sparkSession)
     answers = requests.join(logp, ["lang", "g"]).select("block", "lang", "g", "logp")
     return packed.groupBy("block").cogroup(answers.repartition(n, "block").groupBy("block")).applyInArrow(
         _scores, "doc_id long, lang string, n_grams long, perplexity double"

@@ -53,44 +53,41 @@ def merge_peaks(peaks: DataFrame, keys: list[str], gap: float = 0.32, closed: bo
     return listed.select(*keys, F.explode(F.aggregate("p", empty, step)).alias("p")).select(*keys, "p.*")
 
 
-def _runs(flags: DataFrame, keys: list[str]) -> DataFrame:
-    """Islands of bins whose flag holds: first and last bin, hits."""
-    w = Window.partitionBy(*keys).orderBy("bin")
-    on = flags.where("flag").withColumn("_g", F.col("bin") - F.row_number().over(w))
-    return on.groupBy(*keys, "_g").agg(F.min("bin").alias("first"), F.max("bin").alias("last"), F.sum("c").alias("hits")).drop("_g")
-
-
 def _binned(values: DataFrame, keys: list[str], width: float, least: int) -> DataFrame:
-    base = values.groupBy(*keys).agg(F.min("along").alias("lo"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).drop("_n")
-    counts = values.join(base, keys).groupBy(*keys, F.floor((F.col("along") - F.col("lo")) / width).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
-    return _dense(counts, keys, F.max("bin")).join(base, keys)
+    """keys, lo, bin, c of the bins that hold values, of lines with `least` values. Nothing is joined, so that lines are dealt
+    once and no side can be taken for small."""
+    line = Window.partitionBy(*keys)
+    known = " and ".join(f"`{k}` is not null" for k in keys)
+    v = values.where(known).withColumns({"lo": F.min("along").over(line), "_n": F.count(F.lit(1)).over(line)}).where(F.col("_n") >= least)
+    counts = v.groupBy(*keys, "lo", F.floor((F.col("along") - F.col("lo")) / width).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    return counts.where("bin is not null")
+
+
+def _spans(runs: DataFrame, keys: list[str], width: float, shortest: float) -> DataFrame:
+    """a, b, n of runs (first, last, lo, n) that are long enough."""
+    out = runs.select(*keys, (F.col("lo") + F.col("first") * width).alias("a"), (F.col("lo") + (F.col("last") + 1) * width).alias("b"), "n")
+    return out.where(F.col("b") - F.col("a") >= shortest - 1e-9)
 
 
 def support_runs(values: DataFrame, keys: list[str], *, width: float = 0.05, hits: int = 3, hole: int = 5, shortest: float = 0.45) -> DataFrame:
     """Stretches a to b of a line with support: bins with 3 hits, interior holes of up to 5 bins filled, 0.45 or longer;
     lines under 10 points have none."""
-    bins = _binned(values, keys, width, 10)
-    islands = _runs(bins.withColumn("flag", F.col("c") >= hits), keys)
-    along = Window.partitionBy(*keys).orderBy("first")
-    gap = F.col("first") - F.lag("last").over(along) - 1
-    joined = islands.withColumn("_new", F.coalesce((gap > hole).cast("int"), F.lit(1))).withColumn("_id", F.sum("_new").over(along))
-    spans = joined.groupBy(*keys, "_id").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    edges = [F.col(f"s.{k}") == F.col(f"b.{k}") for k in keys]
-    inside = bins.alias("b").join(spans.alias("s"), [*edges, F.col("b.bin").between(F.col("s.first"), F.col("s.last"))])
-    out = inside.groupBy(*[F.col(f"s.{k}") for k in keys], "s.first", "s.last").agg(F.sum("b.c").alias("n"), F.first("b.lo").alias("lo"))
-    out = out.select(*keys, (F.col("lo") + F.col("first") * width).alias("a"), (F.col("lo") + (F.col("last") + 1) * width).alias("b"), "n")
-    return out.where(F.col("b") - F.col("a") >= shortest - 1e-9)
+    along = Window.partitionBy(*keys).orderBy("bin")
+    # Running counts tell what lies between a run's ends.
+    on = _binned(values, keys, width, 10).withColumn("_t", F.sum("c").over(along.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("c") >= hits)
+    gap = F.col("bin") - F.lag("bin").over(along) - 1
+    on = on.withColumn("_new", F.coalesce((gap > hole).cast("int"), F.lit(1))).withColumn("_id", F.sum("_new").over(along))
+    ends = {"first": F.min("bin"), "last": F.max("bin"), "lo": F.first("lo"), "n": F.max("_t") - F.min(F.col("_t") - F.col("c"))}
+    return _spans(on.groupBy(*keys, "_id").agg(*[v.alias(n) for n, v in ends.items()]), keys, width, shortest)
 
 
 def sparse_runs(values: DataFrame, keys: list[str], *, width: float = 0.05, shortest: float = 0.45) -> DataFrame:
     """Stretches of bins with two hits, or one beside a bin that has any; nothing is filled; under 8 points: none."""
-    bins = _binned(values, keys, width, 8)
     along = Window.partitionBy(*keys).orderBy("bin")
-    beside = (F.coalesce(F.lag("c").over(along), F.lit(0)) > 0) | (F.coalesce(F.lead("c").over(along), F.lit(0)) > 0)
-    flags = bins.withColumn("flag", (F.col("c") >= 2) | ((F.col("c") == 1) & beside))
-    out = _runs(flags, keys).join(bins.select(*keys, "lo").distinct(), keys)
-    out = out.select(*keys, (F.col("lo") + F.col("first") * width).alias("a"), (F.col("lo") + (F.col("last") + 1) * width).alias("b"), F.col("hits").alias("n"))
-    return out.where(F.col("b") - F.col("a") >= shortest - 1e-9)
+    beside = F.coalesce(F.lag("bin").over(along) == F.col("bin") - 1, F.lit(False)) | F.coalesce(F.lead("bin").over(along) == F.col("bin") + 1, F.lit(False))
+    on = _binned(values, keys, width, 8).withColumn("_beside", beside).where((F.col("c") >= 2) | ((F.col("c") == 1) & F.col("_beside")))
+    on = on.withColumn("_g", F.col("bin") - F.row_number().over(along))
+    return _spans(on.groupBy(*keys, "_g").agg(F.min("bin").alias("first"), F.max("bin").alias("last"), F.first("lo").alias("lo"), F.sum("c").alias("n")), keys, width, shortest)
 
 
 def station_centres(values: DataFrame, keys: list[str]) -> DataFrame:

@@ -51,7 +51,9 @@ def jambs(gaps: DataFrame, points: DataFrame, keys: list[str], steps: DataFrame
     mid = 0.5 * (c("gap0") + c("gap1"))
     near = gaps.select(*ids).distinct()
     x = c("along")
-    samples = near.join(walking_band(points, keys, 6), keys).groupBy(*ids).agg(
+    # Points that were made by exploding look small to the planner: no side of these joins may be broadcast.
+    reach = (x > c("gap0") - REACH) & (x < c("gap1") + REACH)
+    samples = near.join(walking_band(points, keys, 6).hint("merge"), keys).where(reach).groupBy(*ids).agg(
         F.array_sort(F.collect_list(F.when((x < mid) & (x > c("gap0") - REACH), x))).alias("_l"),
         F.array_sort(F.collect_list(F.when((x > mid) & (x < c("gap1") + REACH), x))).alias("_r"),
     )
@@ -59,13 +61,13 @@ def jambs(gaps: DataFrame, points: DataFrame, keys: list[str], steps: DataFrame
         off = near.withColumns({n: F.array().cast(arrays.DOUBLES) for n in ("_sl", "_sr")})
     else:
         deep = F.abs(c("depth")) >= 0.07
-        off = near.join(steps, keys, "left").groupBy(*ids).agg(
+        off = near.join(steps.hint("merge"), keys, "left").groupBy(*ids).agg(
             F.array_sort(F.collect_list(F.when(deep & (x < mid + 0.05) & (x > c("gap0") - 0.20), x))).alias("_sl"),
             F.array_sort(F.collect_list(F.when(deep & (x > mid - 0.05) & (x < c("gap1") + 0.20), x))).alias("_sr"),
             F.count("along").alias("_n"),
         )
         off = off.withColumns({n: F.when(c("_n") >= 3, c(n)).otherwise(F.array().cast(arrays.DOUBLES)) for n in ("_sl", "_sr")}).drop("_n")
-    both = samples.join(off, ids).withColumn("_r", arrays.mirrored(c("_r"))).withColumn("_sr", arrays.mirrored(c("_sr")))
+    both = samples.join(off.hint("merge"), ids).withColumn("_r", arrays.mirrored(c("_r"))).withColumn("_sr", arrays.mirrored(c("_sr")))
     both = stored(both).withColumns({"_step_l": arrays.reveal(c("_l"), c("_sl")), "_step_r": arrays.reveal(c("_r"), c("_sr"))})
     both = stored(both.withColumns({"_open_l": arrays.unobserved(c("_l")), "_open_r": arrays.unobserved(c("_r"))}))
     need = c("_step_l").isNull() | c("_step_r").isNull()
@@ -82,7 +84,7 @@ def jambs(gaps: DataFrame, points: DataFrame, keys: list[str], steps: DataFrame
     found = both.select(
         *ids, F.when(lost, c("gap0")).otherwise(c("_edge_l")).alias("left"), F.when(lost, c("gap1")).otherwise(c("_edge_r")).alias("right"), F.when(lost, 0.025).otherwise(sigma).alias("edge_sigma")
     )
-    out = gaps.join(found, ids, "left")
+    out = gaps.join(found.hint("merge"), ids, "left")
     return out.withColumns({"left": F.coalesce("left", "gap0"), "right": F.coalesce("right", "gap1"), "edge_sigma": F.coalesce("edge_sigma", F.lit(0.025))})
 
 
@@ -101,7 +103,7 @@ def opening_candidates(points: DataFrame, keys: list[str], steps: DataFrame | No
     pairs = stored(pairs)
     ids = [*keys, "sparse", "a", "gap0", "gap1"]
     x = c("along")
-    g = pairs.select(*ids).join(points, keys).groupBy(*ids).agg(
+    g = pairs.select(*ids).join(points.hint("merge"), keys).groupBy(*ids).agg(
         *_strata("gap", c("gap0"), c("gap1")), *_strata("flank", c("a"), c("gap0")),
         F.count_if((x > c("gap0") + 0.02) & (x < c("gap1") - 0.02)).alias("_hits"), F.count_if(x.between(c("a"), c("gap0"))).alias("_flank"),
     )
@@ -125,7 +127,7 @@ def openings(points: DataFrame, spans: DataFrame, keys: list[str], steps: DataFr
     found = opening_candidates(points, keys, steps, runs)
     fields = ("sparse", "a", "gap0", "gap1", "left", "right", "edge_sigma", "kind", "sill")
     inside = (F.col("gap0") >= F.col("a0") - 0.05) & (F.col("gap1") <= F.col("a1") + 0.05)
-    g = spans.join(found, keys).where(inside).groupBy(*keys, *own).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("g"))
+    g = spans.join(found.hint("merge"), keys).where(inside).groupBy(*keys, *own).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("g"))
 
     def take(taken: Column, x: Column) -> Column:
         hides = F.exists(taken, lambda o: F.least(x["gap1"], o["right"]) - F.greatest(x["gap0"], o["left"]) > 0.20)

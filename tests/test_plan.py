@@ -329,3 +329,14 @@ def test_mean_extent_errors(spark):
     rows = [("a", 1, 1, 0.3, 0.25), ("a", 2, 2, 0.1, 0.2), ("a", 3, None, 0.4, None), ("b", 1, 1, None, 0.1)]
     df = spark.createDataFrame([(*r, "tape", False) for r in rows], "k string, truth_id int, predicted_id int, truth double, predicted double, source string, synthetic boolean")
     assert {r.k: (r.status, r.mean_extent_error_m2) for r in assess.damage_gate(df, ["k"]).collect()} == {"a": ("FAIL", 0.075), "b": ("PASS", None)}
+
+
+def test_openings_broadcast_no_points(spark):
+    """Exploded points look small to the planner: runs join nothing, and samples are joined by sorting."""
+    p = spark.range(50).select(F.col("id").alias("wall"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("i")).select("wall", (F.col("i") / 100.0).alias("along"), F.lit(1.0).alias("height"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for runs in (lines.support_runs(p, ["wall"]), lines.sparse_runs(p, ["wall"])):
+        assert "Join" not in plan(runs)
+        assert runs.count() == 50
+    gaps = spark.createDataFrame([(1, 0.2, 0.9)], "wall long, gap0 double, gap1 double")
+    assert "BroadcastHashJoin" not in plan(openings.jambs(gaps, p, ["wall"]))

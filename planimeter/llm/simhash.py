@@ -6,8 +6,8 @@ positional bytes, such that any pair reaching that minimum shares at least one l
 for wide fingerprints disjoint groups, which find nearly all pairs). Within a list shared positional bytes
 are tallied, pairs below the minimum fall out, and the rest are verified bit by bit.
 
-deduplicated() asks for a similarity of sets, not of bits: its lists go by least hashes of the sets, wide
-fingerprints only bound the candidates, and within components of candidates the sets are compared exactly.
+deduplicated() asks for a similarity of sets, not of bits: beside the index it has lists that go by least hashes of the
+sets, for pairs farther apart in bits, wide fingerprints bound what these give, and within components of candidates the sets are compared exactly.
 
 Copies collapse first: lists hold distinct fingerprints. A list never emits all its pairs: it is searched
 outwards from one member at a time over the members not reached yet, and emits one edge for each member
@@ -297,11 +297,26 @@ def _sets(shingle: int):
     return run
 
 
+def indexed_candidates(nodes: DataFrame, *, max_bits: int = 4, block: int = LIST_BLOCK) -> DataFrame:
+    """Edges u, v among nodes (__node, fp) that connect all whose first 64 bits of fp differ in max_bits or fewer: through the
+    byte-position index with its count filter and bit check, nodes of equal bits being one entry."""
+    head = F.substring("fp", 1, 8)
+    entries = materialize(nodes.groupBy(head.alias("head")).agg(F.min("__node").alias("entry")))
+    links = fingerprint_links(entries.select(F.col("head").alias("fp")), words=1, max_bits=max_bits, block=block)
+    for side in "uv":
+        links = links.join(entries.select(F.col("head").alias(side), F.col("entry").alias(f"_{side}")), side)
+    same = nodes.select("__node", head.alias("head")).join(entries, "head").where("__node <> entry")
+    out = materialize(links.select(F.col("_u").alias("u"), F.col("_v").alias("v")).unionByName(same.select(F.col("__node").alias("u"), F.col("entry").alias("v"))))
+    release(entries)
+    return out
+
+
 def deduplicated(df: DataFrame, *, id_col="doc_id", text_col="text", shingle=5, words=8, max_bits=150, block: int = LIST_BLOCK) -> DataFrame:
     """The rows of df without near-duplicates: of each component one row stays, the one with the smallest key.
 
     Two texts are near-duplicates if their sets of shingles have a Jaccard similarity of SIMILAR (0.8) or
-    more, by exact count. Candidates share a list (one of BANDS keys of BAND_ROWS least hashes of the set; a
+    more, by exact count. Candidates come from the byte-position index, which finds all pairs that differ in four or fewer
+    of the first 64 bits, and, as a pair at 0.8 differs in more, from lists that complete it: such a pair shares one (one of BANDS keys of BAND_ROWS least hashes of the set; a
     pair at 0.8 shares none with a chance of 5e-8) and have fingerprints that differ in max_bits or fewer
     (of 512; at 0.8 sets of ten or more differ in 78 on average with a deviation of 8, the worst case of 4 of 5
     in 96 with 9). Rows are judged one by one, whatever their keys repeat: null keys come last within a
@@ -320,7 +335,8 @@ def deduplicated(df: DataFrame, *, id_col="doc_id", text_col="text", shingle=5,
     listed = keys.join(shared, ["band", "key"]).join(nodes.select("__node", "fp"), "__node")
     lists = materialize(listed.select(F.concat(F.hex("band"), F.hex("key")).cast("binary").alias("key"), F.col("__node").alias("fp"), F.col("fp").alias("value")))
     near = materialize(_links(lists, lambda _, fps: _near_bits(_bytes_of(fps), max_bits, 0), block))
-    parts = connected_components(near)
+    indexed = indexed_candidates(nodes.select("__node", "fp"), block=block)
+    parts = connected_components(near.unionByName(indexed))
 
     # Shingles are compared only within the components of candidates, one text for each set.
     wanted = parts.join(nodes, parts.node == F.col("__node")).select(F.col("component").alias("key"), F.col("node").alias("fp"), F.col("best.__row").alias("__row"))
@@ -332,5 +348,5 @@ def deduplicated(df: DataFrame, *, id_col="doc_id", text_col="text", shingle=5,
     best = nodes.join(parts, F.col("__node") == F.col("node"), "left").groupBy(F.coalesce("component", "__node")).agg(F.min("best").alias("best"))
     best = materialize(best.select(F.col("best.__row").alias("__row")))
     gone = materialize(marked.select("__row").join(best, "__row", "left_anti"))
-    release(marked, nodes, lists, near, sets, links, best)
+    release(marked, nodes, lists, near, indexed, sets, links, best)
     return whole.join(gone, "__row", "left_anti").select(*df.columns)

@@ -927,3 +927,16 @@ def test_shared_folder_must_be_named_on_a_cluster():
     Session.sparkContext.master = "local-cluster[2,1,1024]"
     with pytest.raises(RuntimeError):
         common.shared_dir(Session())
+
+
+def test_stage_candidates_come_through_the_index(spark):
+    """deduplicated() takes all pairs within four of the first 64 bits from the byte-position index, copies included."""
+    rng = np.random.default_rng(4)
+    heads = [int(x) for x in rng.integers(0, 2**63, 40, np.uint64)]
+    near = [h ^ sum(1 << int(b) for b in rng.choice(63, 4, replace=False)) for h in heads[:20]]
+    heads += [*near, heads[0]]
+    rows = [(bytes([i]) * 16, h.to_bytes(8, "big") + rng.bytes(56)) for i, h in enumerate(heads)]
+    edges = simhash.indexed_candidates(spark.createDataFrame(rows, "__node binary, fp binary"))
+    got = {frozenset((bytes(r.u)[0], bytes(r.v)[0])) for r in edges.collect()}
+    assert got >= {frozenset((i, 40 + i)) for i in range(1, 20)}
+    assert all((heads[a] ^ heads[b]).bit_count() <= 4 for a, b in map(sorted, got)) and frozenset((0, 60)) in got

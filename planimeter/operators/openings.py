@@ -5,10 +5,13 @@ one gap are gathered into sorted arrays (they lie within 0.8 m of it); what need
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planimeter.functions import arrays
+from planimeter.functions.profiles import gathered, single_doors
 from planimeter.functions.shared import stored
 from planimeter.operators.lines import DENSE, SPARSE, aggregate_jambs, sparse_runs, support_runs
 
@@ -146,9 +149,16 @@ def frame_openings(profiles: DataFrame, keys: list[str], span: tuple[float, floa
     """The opening of each wall from its frames' profiles (keys, frame, along): frames of ten samples with exactly one
     door, taken together by aggregate_jambs()."""
     by = [*keys, "frame"]
-    many = F.count(F.lit(1)).over(Window.partitionBy(*by)) >= 10
-    points = profiles.select(*by, "along", F.lit(1.0).alias("height")).withColumn("_many", many).where("_many").drop("_many")
-    spans = points.select(*by).distinct().withColumns({"a0": F.lit(span[0]), "a1": F.lit(span[1]), "abs_floor": F.lit(abs_floor)})
-    doors = openings(points, spans, by).where("kind = 'door'").withColumn("_doors", F.count(F.lit(1)).over(Window.partitionBy(*by))).where("_doors = 1")
-    views = doors.select(*keys, F.col("along0").alias("left"), F.col("along1").alias("right"), F.col("sigma").alias("half_left"), F.col("sigma").alias("half_right"), "method")
+    spark, kinds = profiles.sparkSession, {n: profiles.schema[n].dataType.simpleString() for n in by}
+    known = " and ".join(f"`{k}` is not null" for k in by)
+    p = profiles.where(known).select(*by, F.col("along").cast("double").alias("along"))
+    named = ", ".join(f"`{n}` {t}" for n, t in kinds.items())
+    # Samples of a line that come together travel as one array: each is read once and dealt out once.
+    parts = p.mapInArrow(partial(gathered, value="along", items="_x", count="_n"), f"{named}, _x array<double>, _n bigint")
+    dealt = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *by)
+    whole = dealt.groupBy(*by).agg(F.flatten(F.collect_list("_x")).alias("_x"), F.sum("_n").alias("_n")).where("_n >= 10").select(*by, "_x")
+    doors = whole.mapInArrow(partial(single_doors, items="_x", span=span), f"{named}, left double, right double, sigma double, sparse boolean")
+    sigma = F.greatest("sigma", F.lit(0.005), F.lit(0.5 * abs_floor))
+    method = F.when(F.col("sparse"), SPARSE).otherwise(DENSE).alias("method")
+    views = stored(doors.select(*keys, "left", "right", sigma.alias("half_left"), sigma.alias("half_right"), method))
     return aggregate_jambs(views, keys)

@@ -356,3 +356,36 @@ def test_evaluation_stays_within_cases(spark):
         ("wall_accuracy", "wall", "w", "w", 0.0), ("wall_accuracy", "wall", "y", "y", 0.0), ("wall_accuracy", "wall", "w", "z", 3.0), ("wall_accuracy", "phantom_wall", None, None, None), ("opening_accuracy", "opening", "o", "o", 0.0),
         ("opening_accuracy", "opening", "q", "q", None), ("repeatability", "repeat_wall", "w", "w", 1.0), ("repeatability", "repeat_wall", "w", "w", 0.0), ("repeatability", "repeat_wall", None, None, 0.0),
     ])
+
+
+def test_frames_are_read_once(spark):
+    """frame_openings() reads each sample once, and says what openings() and aggregate_jambs() say of the same rows."""
+    import random
+
+    r, rows = random.Random(3), []
+    for i in range(120):
+        gap0, width, pitch, repeats = r.uniform(0.6, 2.4), r.choice([0.5, 0.7, 0.8, 0.9, 1.0, 1.18, 1.24, 1.4]), r.choice([0.005, 0.01, 0.02, 0.04, 0.05]), r.choice([1, 2, 3])
+        for f in range(r.choice([1, 2, 3])):
+            p = [x + r.choice([0, 0, r.gauss(0, 0.004)]) for x in profile(gap0, width, pitch, repeats=repeats, phase=f * pitch / 3)] + [r.uniform(0, 4) for _ in range(r.choice([0, 0, 2, 9]))]
+            rows += [(i, f, x) for x in r.sample(p, int(len(p) * r.choice([1, 1, 0.9, 0.5])))]
+    rows += [(200, None, x / 50) for x in range(99)] + [(None, 1, x / 50) for x in range(99)] + [(201, 1, None)] * 20 + [(202, 1, x) for x in profile(1.2, 0.8, 0.01)] + [(202, 1, float("nan"))] * 3 + [(202, 1, None)] * 2 + [(203, 1, 0.1)] * 9
+    r.shuffle(rows)
+    # In the order of frames half the time, so that neighbours gather.
+    rows = sorted(rows[::2], key=lambda x: (x[0] or 0, x[1] or 0)) + rows[1::2]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(rows, "wall int, frame int, along double")
+    got = openings.frame_openings(df.mapInArrow(counted, df.schema), ["wall"]).collect()
+    assert seen.value == len(rows)
+    by = ["wall", "frame"]
+    points = stored(df.join(df.groupBy(*by).count().where("count >= 10").drop("count"), by).withColumn("height", F.lit(1.0)))
+    spans = points.select(*by).distinct().withColumns({"a0": F.lit(0.0), "a1": F.lit(4.0), "abs_floor": F.lit(0.012)})
+    doors = stored(openings.openings(points, spans, by))
+    doors = doors.join(doors.groupBy(*by).count().where("count = 1").drop("count"), by)
+    want = lines.aggregate_jambs(stored(doors.selectExpr("wall", "along0 as `left`", "along1 as `right`", "sigma as half_left", "sigma as half_right", "method")), ["wall"]).collect()
+    assert len(got) > 50 and sorted(got) == sorted(want)
